@@ -214,6 +214,18 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return h.view("<u8").ravel(), np.repeat(docs, count), (total - base).astype(np.int64), np.repeat(extra, count)
 
 
+_P, _A = 2**31 - 1, 48271
+
+
+def id_bucket(doc: np.ndarray, n: int) -> np.ndarray:
+    """0 <= bucket < n of ids, spread evenly for any step between them; id_bucket_col is its twin in SQL."""
+    return doc % _P * _A % _P * n // _P
+
+
+def id_bucket_col(doc: str, n: int) -> Column:
+    return F.expr(f"cast((pmod({doc}, {_P}L) * {_A}L) % {_P}L * {n}L div {_P}L as int)")
+
+
 def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the runs of equal neighbours."""
     if not len(sorted_keys):

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,14 +50,30 @@ def _local(h, doc, place):
     return first, again
 
 
-def _positions(doc, place, buckets):
-    """One output row per document with marked places; input sorted by (doc, place)."""
-    at, n = C.runs(doc)
-    ids = doc[at]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(C.bucket_of(C.mix(ids.astype(np.uint64)), buckets), pa.int32()), pa.array(ids, pa.int64()), C.ragged(place, n, pa.int32()), pa.nulls(len(ids), pa.binary())],
-        ["bucket", "doc", "starts", "blob"],
-    )
+def _blobs(to, h, doc, place):
+    """(bucket, blob) for each bucket in ``to``; rows of a bucket stay in their order."""
+    order = np.argsort(to.astype(np.uint16) if to.max(initial=0) < 65536 else to, kind="stable")
+    to, h, doc, place = to[order], h[order], doc[order], place[order]
+    at, n = C.runs(to)
+    none = np.zeros(len(h), np.int64)
+    for i, k in zip(at.tolist(), n.tolist(), strict=True):
+        yield int(to[i]), C.pack(h[i : i + k], doc[i : i + k], place[i : i + k], none[:k])
+
+
+def _rows(pairs, kind):
+    """Record batches (bucket, marks, blob) of bounded size."""
+    pairs = list(pairs)
+    for lo in range(0, len(pairs), 256):
+        to, blobs = zip(*pairs[lo : lo + 256], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([kind] * len(to), pa.bool_()), pa.array(blobs, pa.binary())], ["bucket", "marks", "blob"])
+
+
+_NO_HASH = np.uint64(0)
+
+
+def _marks(doc, place, buckets):
+    """Marked places, dealt out by document."""
+    return _rows(_blobs(C.id_bucket(doc, buckets), np.full(len(doc), _NO_HASH), doc, place), True)
 
 
 def _scan(width: int, buckets: int):
@@ -69,20 +86,9 @@ def _scan(width: int, buckets: int):
             h, doc, place = h[order], doc[order], place[order]
             first, again = _local(h, doc, place)
             if again.any():
-                yield _positions(doc[again], place[again], buckets)
+                yield from _marks(doc[again], place[again], buckets)
             h, doc, place = h[first], doc[first], place[first]
-            to = C.bucket_of(h, buckets)
-            order = np.argsort(to.astype(np.uint16) if buckets < 65536 else to, kind="stable")
-            to, h, doc, place = to[order], h[order], doc[order], place[order]
-            at, n = C.runs(to)
-            none = np.zeros(len(h), np.int64)
-            for lo in range(0, len(at), 512):
-                part = range(lo, min(lo + 512, len(at)))
-                blobs = [C.pack(h[at[i] : at[i] + n[i]], doc[at[i] : at[i] + n[i]], place[at[i] : at[i] + n[i]], none[: n[i]]) for i in part]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(to[at[list(part)]], pa.int32()), pa.nulls(len(blobs), pa.int64()), pa.nulls(len(blobs), pa.list_(pa.int32())), pa.array(blobs, pa.binary())],
-                    ["bucket", "doc", "starts", "blob"],
-                )
+            yield from _rows(_blobs(C.bucket_of(h, buckets), h, doc, place), False)
 
         with np.errstate(over="ignore"):
             for whole in batches:
@@ -105,47 +111,42 @@ def _scan(width: int, buckets: int):
     return run
 
 
-def _judge(batches):
-    """All first places of some hash range: those after the smallest are repeats."""
-    held = []
-    for b in batches:
-        blob = b.column("blob")
-        held += [C.unpack(x)[:3] for x in blob.drop_null().to_pylist()]
-        done = b.filter(blob.is_null())
-        if len(done):
-            yield pa.RecordBatch.from_arrays([done.column("doc"), done.column("starts")], ["doc", "starts"])
-    if not held:
-        return
-    h, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
-    del held
-    order = np.argsort(h)
-    at, n = C.runs(h[order])
-    many = n > 1
-    rows = order[np.repeat(many, n)]
-    if not len(rows):
-        return
-    h, doc, place = h[rows], doc[rows], place[rows]
-    order = np.lexsort((place, doc, h))
-    h, doc, place = h[order], doc[order], place[order]
-    at, n = C.runs(h)
-    late = (doc != np.repeat(doc[at], n)) | (place != np.repeat(place[at], n))
-    doc, place = doc[late], place[late]
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
-    at, n = C.runs(doc)
-    for lo in range(0, len(at), 20_000):
-        k = slice(lo, lo + 20_000)
-        end = at[k][-1] + n[k][-1]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[at[k]], pa.int64()), C.ragged(place[at[k][0] : end], n[k], pa.int32())], ["doc", "starts"])
-
-
-def repeats(docs: DataFrame, width: int = 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc, starts): per document key the starts of all windows that also start earlier."""
+def _judge(buckets: int):
+    """All first places of some hash range: those after the smallest are repeats. Marks pass on."""
+
+    def run(batches):
+        held = []
+        for b in batches:
+            marks = b.column("marks")
+            held += [C.unpack(x)[:3] for x in b.filter(pc.invert(marks)).column("blob").to_pylist()]
+            done = b.filter(marks)
+            if len(done):
+                yield done.select(["bucket", "blob"])
+        if not held:
+            return
+        h, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        del held
+        order = np.argsort(h)
+        _, n = C.runs(h[order])
+        rows = order[np.repeat(n > 1, n)]
+        h, doc, place = h[rows], doc[rows], place[rows]
+        order = np.lexsort((place, doc, h))
+        h, doc, place = h[order], doc[order], place[order]
+        at, n = C.runs(h)
+        late = (doc != np.repeat(doc[at], n)) | (place != np.repeat(place[at], n))
+        doc, place = doc[late], place[late]
+        order = np.lexsort((place, doc))
+        for b in _marks(doc[order], place[order], buckets):
+            yield b.select(["bucket", "blob"])
+
+    return run
+
+
+def repeats(docs: DataFrame, n: int, width: int, text: str, doc_id: str) -> DataFrame:
+    """(bucket, blob): packed starts of all windows that also start earlier, dealt into ``n`` buckets of documents."""
     rows = docs.select(C.key_of(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
-    n = C.partitions(docs.select(text), 8)
-    sent = rows.mapInArrow(_scan(width, n), "bucket int, doc long, starts array<int>, blob binary")
-    found = sent.repartitionById(n, F.col("bucket")).mapInArrow(_judge, "doc long, starts array<int>")
-    return found.groupBy("doc").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    sent = rows.mapInArrow(_scan(width, n), "bucket int, marks boolean, blob binary")
+    return sent.repartitionById(n, F.col("bucket")).mapInArrow(_judge(n), "bucket int, blob binary")
 
 
 def intervals(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,23 +165,36 @@ def _cut(width: int, schema: T.StructType):
     target = to_arrow_schema(schema)
 
     def run(batches):
+        held, found = [], None
         for whole in batches:
             for b in C.sliced(whole, "_q_text", 2**23):
+                blob = b.column("_q_blob")
+                held += [C.unpack(x)[1:3] for x in blob.drop_null().to_pylist()]
+                b = b.filter(blob.is_null())
+                if not len(b):
+                    continue
+                if found is None:  # blobs sort before documents
+                    doc, place = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 2
+                    held = []
+                    order = np.lexsort((place, doc))
+                    doc, place = doc[order], place[order]
+                    at, n = C.runs(doc)
+                    found = {d: (i, i + k) for d, i, k in zip(doc[at].tolist(), at.tolist(), n.tolist(), strict=True)}
                 kept, total, removed, spans = [], [], [], []
-                for text, starts in zip(b.column("_q_text"), b.column("_q_starts"), strict=True):
+                for text, key in zip(b.column("_q_text"), b.column("_q_key").to_pylist(), strict=True):
                     words = (text.as_buffer().to_pybytes() if text.is_valid else b"").split()
                     total.append(len(words))
-                    if starts.is_valid:
-                        lo, hi = intervals(starts.values.to_numpy(), width)
-                        out, at = [], 0
+                    spans.append([])
+                    if key in found:
+                        lo, hi = intervals(place[slice(*found[key])], width)
+                        out, last = [], 0
                         for a, z in zip(lo.tolist(), hi.tolist(), strict=True):
-                            out += words[at:a]
-                            at = z
-                        out += words[at:]
-                        spans.append([{"from": a, "to": z} for a, z in zip(lo.tolist(), hi.tolist(), strict=True)])
-                        words = out
-                    else:
-                        spans.append([])
+                            z = min(z, len(words))
+                            if a < z:
+                                out += words[last:a]
+                                last = z
+                                spans[-1].append({"from": a, "to": z})
+                        words = out + words[last:]
                     kept.append(b" ".join(words))
                     removed.append(total[-1] - len(words))
                 new = {"kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "removed_spans": pa.array(spans, target.field("removed_spans").type)}
@@ -197,7 +211,10 @@ def remove_repeats(docs: DataFrame, width: int = 20, text: str = "text", doc_id:
     """
     own = ["kept_text", "n_words", "n_removed", "removed_spans"]
     rest = [c for c in docs.columns if c not in {*own, text}]
-    found = repeats(docs, width, text, doc_id).select(F.col("doc").alias("_q_doc"), F.col("starts").alias("_q_starts"))
-    joined = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text).cast("string").alias("_q_text"), C.key_of(doc_id).alias("_q_key")).join(found, F.col("_q_key") == F.col("_q_doc"), "left").drop("_q_key", "_q_doc")
-    schema = T.StructType([docs.schema[c] for c in rest] + list(T._parse_datatype_string("kept_text string, n_words long, n_removed long, removed_spans array<struct<`from`:int,`to`:int>>")))
-    return joined.mapInArrow(_cut(width, schema), schema)
+    n = C.partitions(docs.select(text), 8)
+    rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text).cast("string").alias("_q_text"), C.key_of(doc_id).alias("_q_key"), F.lit(None).cast("binary").alias("_q_blob"))
+    rows = rows.withColumn("_q_bucket", C.id_bucket_col("_q_key", n))
+    marks = repeats(docs, n, width, text, doc_id).select(*[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in rest], F.lit(None).cast("string").alias("_q_text"), F.lit(None).cast("long").alias("_q_key"), F.col("blob").alias("_q_blob"), F.col("bucket").alias("_q_bucket"))
+    met = rows.union(marks).repartitionById(n, F.col("_q_bucket")).withColumn("_q_doc", F.col("_q_blob").isNull()).sortWithinPartitions("_q_doc").drop("_q_bucket", "_q_doc")
+    schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in rest] + list(T._parse_datatype_string("kept_text string, n_words long, n_removed long, removed_spans array<struct<`from`:int,`to`:int>>")))
+    return met.mapInArrow(_cut(width, schema), schema)
