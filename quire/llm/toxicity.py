@@ -9,12 +9,13 @@ A query adds the block maxima of its terms to an upper bound per block, reads
 blocks by falling bound and stops when no bound beats its k-th best cosine, so
 that the k nearest are exact. Votes weigh by squared similarity beside ``prior``
 votes of the base rate among examples without any term:
-score = (sum s^2 y + prior * base) / (sum s^2 + prior).
+vote = (sum s^2 y + prior * base) / (sum s^2 + prior). A logistic curve fitted on
+the examples' own votes, each left out of its own, turns votes into scores.
 
 Bounds (all documented parameters): ``per_class`` labelled examples of each
 class, chosen by a hash of their id; ``max_terms`` terms. The index and the term
 table are therefore of fixed size (at most 2 * per_class rows of at most
-max_terms numbers) and are the only things sent to executors. Everything else
+max_terms + 1 numbers) and are the only things sent to executors. Everything else
 reads all documents.
 
 Edge cases: null and empty texts hold no term and get the base rate; null labels
@@ -109,7 +110,7 @@ class BlockMaxIndex:
     def __init__(self, vectors: np.ndarray, y: np.ndarray, weight: np.ndarray, names: np.ndarray, block: int = 64):
         order = np.lexsort((names, -vectors.max(axis=1, initial=0), vectors.argmax(axis=1) if vectors.shape[1] else names))
         self.y, self.weight, self.names, self.block = y[order], weight[order], names[order], block
-        v = vectors[order]
+        self.vectors = v = vectors[order]
         self.starts = np.arange(0, len(v), block)
         self.top = np.maximum.reduceat(v, self.starts, axis=0) if len(v) else v
         self.postings = [{int(t): (np.flatnonzero(v[s : s + block, t]), v[s : s + block, t][v[s : s + block, t] > 0]) for t in np.flatnonzero(self.top[i])} for i, s in enumerate(self.starts)]
@@ -137,14 +138,39 @@ class BlockMaxIndex:
         return rows[order], scores[order]
 
 
-def weigh(freq: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit vector of (1 + ln tf) * idf."""
-    w = (1 + np.log(freq)) * idf
-    size = math.sqrt(float(w @ w))
-    return w / size if size else w
+def weigh(freq: np.ndarray, idf: np.ndarray, filler: float) -> np.ndarray:
+    """Unit vector of (1 + ln tf) * idf, with one more term of weight ``filler``.
+
+    The filler stands for all words that take no part: without it a text with one
+    marked word would be as close to a toxic one as a text with ten.
+    """
+    w = np.append((1 + np.log(freq)) * idf, filler)
+    return w / math.sqrt(float(w @ w))
+
+
+def platt(votes: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Slope and offset of the logistic curve that turns the logit of a vote into a probability.
+
+    A ridge of 1 towards the identity keeps few or separable examples from running away.
+    """
+    x = np.log(votes / (1 - votes))
+    a, b = 1.0, 0.0
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        g, h = weight * (p - y), weight * p * (1 - p)
+        grad = np.array([g @ x + (a - 1), g.sum() + b])
+        hess = np.array([[h @ (x * x) + 1, h @ x], [h @ x, h.sum() + 1]])
+        da, db = np.linalg.solve(hess, grad)
+        a, b = a - float(np.clip(da, -1, 1)), b - float(np.clip(db, -1, 1))
+    return max(a, 0.1), b
+
+
+def vote(index: BlockMaxIndex, rows: np.ndarray, s: np.ndarray, base: float, prior: float) -> float:
+    w = np.minimum(s, 1.0) ** 2 * index.weight[rows]
+    return float((w @ index.y[rows] + prior * base) / (w.sum() + prior))
 
 
-def _vote(index: BlockMaxIndex, idf: np.ndarray, base: float, k: int, prior: float, evidence: int):
+def _vote(index: BlockMaxIndex, idf: np.ndarray, filler: float, base: float, curve: tuple[float, float], k: int, prior: float, evidence: int):
     def run(batches):
         known: dict[tuple, tuple] = {}
         for b in batches:
@@ -153,11 +179,10 @@ def _vote(index: BlockMaxIndex, idf: np.ndarray, base: float, k: int, prior: flo
                 key = (tuple(terms), tuple(freq))
                 if (got := known.get(key)) is None:
                     if terms:
-                        t = np.array(terms)
-                        rows, s = index.nearest(t, weigh(np.array(freq, float), idf[t]), k)
-                        s = np.minimum(s, 1.0)
-                        w = s * s * index.weight[rows]
-                        got = (float((w @ index.y[rows] + prior * base) / (w.sum() + prior)), index.names[rows[:evidence]].tolist(), s[:evidence].tolist())
+                        rows, s = index.nearest(np.array([*terms, len(idf)]), weigh(np.array(freq, float), idf[terms], filler), k)
+                        v = vote(index, rows, s, base, prior)
+                        p = 1 / (1 + math.exp(-(curve[0] * math.log(v / (1 - v)) + curve[1])))
+                        got = (p, index.names[rows[:evidence]].tolist(), np.minimum(s[:evidence], 1.0).tolist())
                     else:
                         got = (base, [], [])
                     if len(known) < 50_000:
@@ -174,7 +199,7 @@ def crc_mod(doc_id: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(folds))
 
 
-def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0, per_class: int = 6000, max_terms: int = 512, k: int = 15, prior: float = 1.0, evidence: int = 5, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0, per_class: int = 6000, max_terms: int = 512, k: int = 15, prior: float = 1.0, filler: float = 3.0, evidence: int = 5, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence, cosines), a row for each row of ``docs``.
 
     Labels of rows whose crc32(id as text) mod ``folds`` is ``held_fold`` are never
@@ -200,12 +225,23 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0
     weight_of = lambda y: scale[y] / max(scale.values())
     bare = [sum(scale[y] for y, t in zip(sparse["y"], sparse["terms"], strict=True) if not t and y == of) for of in (0, 1)]
     base = bare[1] / sum(bare) if sum(bare) else (totals.get(1, 0) / max(1, sum(totals.values())))
+    base = min(max(base, 1e-3), 1 - 1e-3)
     with_terms = [i for i, t in enumerate(sparse["terms"]) if t]
-    vectors = np.zeros((len(with_terms), len(terms)), np.float32)
+    vectors = np.zeros((len(with_terms), len(terms) + 1))
     for row, i in enumerate(with_terms):
-        vectors[row, sparse["terms"][i]] = weigh(np.array(sparse["freq"][i], float), idf[sparse["terms"][i]])
+        vectors[row, [*sparse["terms"][i], len(terms)]] = weigh(np.array(sparse["freq"][i], float), idf[sparse["terms"][i]], filler)
     y = np.array([sparse["y"][i] for i in with_terms], float)
     index = BlockMaxIndex(vectors, y, np.array([weight_of(v) for v in y]), np.array([sparse["doc"][i] for i in with_terms], np.int64))
-    scored = counted.mapInArrow(_vote(index, idf, base, k, prior, evidence), counted.select("doc").schema.simpleString()[7:-1].replace(":", " ") + ", score double, evidence array<long>, cosines array<double>")
+    curve = (1.0, 0.0)
+    if len(y):  # votes of the examples themselves, each left out of its own
+        votes = []
+        for row in range(len(y)):
+            t = np.flatnonzero(index.vectors[row])
+            rows, s = index.nearest(t, index.vectors[row, t], k + 1)
+            other = rows != row
+            votes.append(vote(index, rows[other][:k], s[other][:k], base, prior))
+        curve = platt(np.array(votes), index.y, index.weight)
+    index.vectors = None
+    scored = counted.mapInArrow(_vote(index, idf, filler, base, curve, k, prior, evidence), counted.select("doc").schema.simpleString()[7:-1].replace(":", " ") + ", score double, evidence array<long>, cosines array<double>")
     held = F.coalesce(crc_mod("doc", folds) == held_fold, F.lit(False))
     return scored.select(F.col("doc").alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "cosines")
