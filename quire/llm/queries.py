@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.mixing import mix, taken_words
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    return taken_words(mix(docs)).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.substring import remove_repeats
 
@@ -20,6 +27,15 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quire.llm.packing import pack_documents
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.toxicity import score
 
@@ -29,8 +45,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_source_mixing": op1_source_mixing,
     "op2_substring_dedup": op2_substring_dedup,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_toxicity": op9_toxicity,
 }
 
