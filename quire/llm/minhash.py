@@ -6,17 +6,16 @@
    (optimal densification). ``bins / rows`` bands of ``rows`` bins are hashed.
 2. Equal sets (128-bit sums over the hashed set) collapse into classes, one
    representative each, before any bucket is formed.
-3. Buckets: a task links members of a bucket to the first it has seen and sends
-   on that one alone; what is left meets by hash range and is linked to the
-   smallest. So a bucket of m texts makes m - 1 star-shaped edges and a hot one
-   arrives pre-aggregated.
-4. Candidate pairs are confirmed on the full shingle sets, in groups of at most
-   ``group`` members of one centre, each group with one copy of the centre.
-5. What the stars leave open (a bucket whose members are still in different
-   components) is finished in rounds: the first, the next two, the next four ...
-   members of the bucket become centres and meet only members of other
-   components and of a fitting size, until all have been centres. No cap, no
-   bucket is dropped.
+3. Buckets: members that meet inside a task are reported there, and one of them
+   goes on for all; the rest meets by hash range. A hot bucket arrives
+   pre-aggregated.
+4. Stars: a bucket's members pair with its centre, the one whose buckets are
+   largest in all, so m members make m - 1 pairs. Pairs are confirmed on the full
+   shingle sets, in groups of at most ``group`` members of one centre, each group
+   with one copy of the centre.
+5. Members that don't link with their centre may still link with each other or
+   with linked members. They are found exactly, by their differences from the
+   centre (``through_centres``). No cap; no bucket is dropped.
 
 With 512 bins in 64 bands of 8, two sets of similarity 0.85 share no bucket with
 probability (1 - 0.85**8)**64 = 1.4e-9; at 0.8 it is 8e-6.
@@ -128,40 +127,34 @@ def _sketch(width: int, bins: int, rows: int):
     return run
 
 
-EDGE = "key long, a long, c long, na int, nc int"
+def _collect(buckets: int, flush: int = 3_000_000):
+    """Rows (key, doc, n) of keys that meet inside a task, and packed firsts of all keys.
 
-
-def _edges(key, doc, n, order):
-    """Star edges inside runs of equal keys; ``order`` sorts by (key, doc). Also the centres' rows."""
-    key, doc, n = key[order], doc[order], n[order]
-    at, size = C.runs(key)
-    centre = np.repeat(doc[at], size)
-    far = doc != centre
-    arrays = [key[far].view(np.int64), doc[far], centre[far], n[far].astype(np.int32), np.repeat(n[at], size)[far].astype(np.int32)]
-    return [pa.array(x) for x in arrays], order[at]
-
-
-def _star(buckets: int, flush: int = 3_000_000):
-    names = ["bucket", "key", "a", "c", "na", "nc", "blob"]
+    Of a key with several members here only the first goes on, marked as already
+    reported, so a bucket that a third of all texts share sends one entry per task.
+    """
+    names = ["bucket", "key", "doc", "n", "blob"]
 
     def run(batches):
         held, size = [], 0
 
         def out():
             key, doc, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            arrays, lead = _edges(key, doc, n, np.lexsort((doc, key)))
-            if len(arrays[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(C.bucket_of(arrays[0].to_numpy().view(_U), buckets), pa.int32()), *arrays, pa.nulls(len(arrays[0]), pa.binary())], names)
-            key, doc, n = key[lead], doc[lead], n[lead]
+            order = np.lexsort((doc, key))
+            key, doc, n = key[order], doc[order], n[order]
+            at, count = C.runs(key)
+            many = np.repeat(count > 1, count)
+            if many.any():
+                yield pa.RecordBatch.from_arrays([pa.array(C.bucket_of(key[many], buckets), pa.int32()), pa.array(key[many].view(np.int64)), pa.array(doc[many]), pa.array(n[many]), pa.nulls(int(many.sum()), pa.binary())], names)
+            key, doc, n, told = key[at], doc[at], n[at], (count > 1).astype(np.int64)
             to = C.bucket_of(key, buckets)
-            order = np.lexsort((doc, to))
-            to, key, doc, n = to[order], key[order], doc[order], n[order]
+            order = np.lexsort((told, doc, to))
+            to, key, doc, n, told = to[order], key[order], doc[order], n[order], told[order]
             at, count = C.runs(to)
-            none = np.zeros(len(key), np.int64)
-            for lo in range(0, len(at), 512):
-                part = list(range(lo, min(lo + 512, len(at))))
-                blobs = [C.pack(key[s], doc[s], none[s], n[s]) for s in (slice(at[i], at[i] + count[i]) for i in part)]
-                yield pa.RecordBatch.from_arrays([pa.array(to[at[part]], pa.int32()), *[pa.nulls(len(part), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())], pa.array(blobs, pa.binary())], names)
+            for lo in range(0, len(at), 256):
+                part = list(range(lo, min(lo + 256, len(at))))
+                blobs = [C.pack(key[s], doc[s], told[s], n[s]) for s in (slice(at[i], at[i] + count[i]) for i in part)]
+                yield pa.RecordBatch.from_arrays([pa.array(to[at[part]], pa.int32()), *[pa.nulls(len(part), pa.int64())] * 3, pa.array(blobs, pa.binary())], names)
 
         for b in batches:
             bands = b.column("bands")
@@ -181,9 +174,9 @@ def _star(buckets: int, flush: int = 3_000_000):
 
 
 def _meet(batches):
-    """Per hash range: links made by tasks pass on, what tasks sent on is linked to the smallest."""
+    """Per hash range: members of keys that several tasks sent, beside what tasks reported."""
     held = []
-    names = ["key", "a", "c", "na", "nc"]
+    names = ["key", "doc", "n"]
     for b in batches:
         blob = b.column("blob")
         held += [C.unpack(x) for x in blob.drop_null().to_pylist()]
@@ -191,17 +184,28 @@ def _meet(batches):
         if len(done):
             # keys are cut to the bits that blobs keep, so that both kinds name a bucket alike
             key = pa.array(done.column("key").to_numpy().view(_U) & _U(2**56 - 1)).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([key, *[done.column(x) for x in names[1:]]], names)
+            yield pa.RecordBatch.from_arrays([key, done.column("doc"), done.column("n")], names)
     if held:
-        key, doc, _, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, doc, told, n = (np.concatenate(x) for x in zip(*held, strict=True))
         del held
         order = np.argsort(key)
         _, size = C.runs(key[order])
         keep = order[np.repeat(size > 1, size)]
-        key, doc, n = key[keep], doc[keep], n[keep]
-        arrays, _ = _edges(key, doc, n, np.lexsort((doc, key)))
-        for lo in range(0, len(arrays[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([x.slice(lo, 100_000) for x in arrays], names)
+        keep = keep[told[keep] == 0]
+        for lo in range(0, len(keep), 100_000):
+            k = keep[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(key[k].view(np.int64)), pa.array(doc[k]), pa.array(n[k].astype(np.int64))], names)
+
+
+def stars(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, c) of bucket members with their bucket's centre, the member whose buckets are largest in all."""
+    size = members.groupBy("key").agg(F.count("*").alias("m"))
+    weight = members.join(size, "key").groupBy("doc").agg(F.sum("m").alias("w"))
+    centre = members.join(weight, "doc").groupBy("key").agg(F.max(F.struct("w", (-F.col("doc")).alias("d")))["d"].alias("d"))
+    return members.join(centre.select("key", (-F.col("d")).alias("c")), "key").where("doc <> c").select(F.col("doc").alias("a"), "c").distinct()
+
+
+TESTED = "a long, c long, na long, nc long, linked boolean, delta array<long>"
 
 
 def _confirm(width: int, num: int, den: int):
@@ -209,75 +213,75 @@ def _confirm(width: int, num: int, den: int):
 
     def run(batches):
         at, ours = None, None
+        names = ["a", "c", "na", "nc", "linked", "delta"]
         with np.errstate(over="ignore"):
             for whole in batches:
                 for b in C.sliced(whole, "text"):
                     h, n = shingle_sets(b.column("text"), width)
                     end = np.cumsum(n)
-                    a, c = [], []
-                    for i, (centre, doc, part) in enumerate(zip(b.column("c").to_pylist(), b.column("doc").to_pylist(), b.column("part").to_pylist(), strict=True)):
+                    out, delta = [], []
+                    for i, (centre, doc, part, alone) in enumerate(zip(*(b.column(x).to_pylist() for x in ("c", "doc", "part", "alone")), strict=True)):
                         mine = h[end[i] - n[i] : end[i]]
                         if doc == centre:
                             at, ours = (centre, part), mine
                             continue
                         if at != (centre, part):
                             raise RuntimeError("a group came without its centre")
-                        both = len(np.intersect1d(ours, mine, assume_unique=True))
-                        if den * both >= num * (len(ours) + len(mine) - both):
-                            a.append(doc)
-                            c.append(centre)
-                    if a:
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "c"])
+                        other = np.setxor1d(ours, mine, assume_unique=True)
+                        both = (len(ours) + len(mine) - len(other)) // 2
+                        out.append((doc, centre, len(mine), len(ours), den * both >= num * (both + len(other))))
+                        delta.append(other.view(np.int64) if not alone else other[:0].view(np.int64))
+                    if out:
+                        cols = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.bool_()], strict=True)]
+                        yield pa.RecordBatch.from_arrays([*cols, C.ragged(np.concatenate(delta), np.array([len(x) for x in delta]), pa.int64())], names)
 
     return run
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int, group: int = 1000) -> DataFrame:
-    """The pairs (a, c) whose full sets have den * intersection >= num * union; ``texts`` is (doc, text), one row a doc."""
-    parts = pairs.groupBy("c").agg(F.ceil(F.count("*") / group).cast("int").alias("parts"))
-    members = pairs.join(parts, "c").select(F.col("a").alias("doc"), "c", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
-    centres = parts.select(F.col("c").alias("doc"), "c", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
+    """Every pair (a, c) with its set sizes, whether it links (den * intersection >= num * union), and the
+    hashes in just one of both sets; ``texts`` is (doc, text), one row a doc. A centre with a single member
+    needs no differences and gets none."""
+    parts = pairs.groupBy("c").agg(F.ceil(F.count("*") / group).cast("int").alias("parts"), (F.count("*") == 1).alias("alone"))
+    members = pairs.join(parts, "c").select(F.col("a").alias("doc"), "c", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), "alone")
+    centres = parts.select(F.col("c").alias("doc"), "c", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "alone")
     n = C.partitions(texts, 16)
-    rows = members.unionByName(centres).join(texts, "doc").select("c", "part", (F.col("doc") != F.col("c")).alias("member"), "doc", "text")
+    rows = members.unionByName(centres).join(texts.hint("merge"), "doc").select("c", "part", "alone", (F.col("doc") != F.col("c")).alias("member"), "doc", "text")
     rows = rows.repartition(n, "c", "part").sortWithinPartitions("c", "part", "member", "doc")
-    return rows.mapInArrow(_confirm(width, num, den), "a long, c long")
+    return rows.mapInArrow(_confirm(width, num, den), TESTED)
 
 
-def _fits(x: str, y: str, num: int, den: int) -> str:
-    """Sets whose sizes differ more than this can't reach num / den."""
-    return f"{den} * least({x}, {y}) >= {num} * greatest({x}, {y})"
+def through_centres(tested: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between members of one centre of which at least one isn't linked with it.
 
-
-def _rest(edges: DataFrame, labels: DataFrame, links: DataFrame, tested: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Links among members of buckets that the stars left in several components."""
-    la, lc = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ac")
-    full = edges.join(la, "a", "left").join(lc, "c", "left").select("key", "a", "c", "na", "nc", F.coalesce("la", "a").alias("la"), F.coalesce("lc", "c").alias("lc"))
-    keys = full.where("la <> lc").select("key").distinct()
-    part = full.join(keys, "key", "left_semi")
-    rows = part.selectExpr("key", "a as doc", "na as n").union(part.selectExpr("key", "c", "nc")).distinct()
+    Let D(x) be the hashes in just one of x and its centre c, and q = (den - num) / (den + num):
+    x and y link if and only if |D(x) ^ D(y)| <= q (|x| + |y|). For x not linked with c,
+    |D(x)| > q (|x| + |c|), from which follows |D(x) & D(y)| > (|D(y)| + q (|c| - |y|)) / 2
+    for any y that links with x, and likewise for x if y isn't linked with c either. So by the
+    prefix principle, with the hashes of every D in one order, rarest first, x and y share a hash
+    among the first |D| - t + 1 of D(y), t being the least such overlap; if both are unlinked,
+    among the first of both. Edits that no other text has come first and meet nothing, so the
+    join stays near linear even where thousands of texts lie just below the bound.
+    """
     from pyspark.sql import Window
 
-    rows = C.written(rows.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("n", "doc"))))
-    most = rows.agg(F.max("rank")).first()[0] or 0
-    if most < 2:
-        return links
-    few = C.written(texts.join(rows.select("doc").distinct(), "doc", "left_semi"))
-    at = 1
-    while at < most:
-        named = rows.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-        x = named.where(f"rank >= {at} and rank < {2 * at}").selectExpr("key", "doc as c", "n as nc", "label as lc", "rank as rc")
-        y = named.where(f"rank > {at}").selectExpr("key", "doc as a", "n as na", "label as la", "rank as ra")
-        new = x.join(y, "key").where(f"ra > rc and la <> lc and {_fits('na', 'nc', num, den)}")
-        new = new.selectExpr("greatest(a, c) as a", "least(a, c) as c").distinct().join(tested, ["a", "c"], "left_anti")
-        new = C.written(new)
-        if new.limit(1).count():
-            tested = tested.union(new)
-            found = C.written(confirmed(new, few, width, num, den))
-            if found.limit(1).count():
-                links = links.union(found)
-                labels = components(links.selectExpr("a", "c as b"))
-        at *= 2
-    return links
+    lab = labels.select(F.col("node").alias("a"), "label")
+    lc = labels.select(F.col("node").alias("c"), F.col("label").alias("lc"))
+    t = tested.where("size(delta) > 0").join(lab, "a", "left").join(lc, "c", "left").withColumn("label", F.coalesce("label", "a")).withColumn("lc", F.coalesce("lc", "c"))
+    wanted = t.where("not linked").groupBy("c").agg(F.count("*").alias("open"))
+    t = C.written(t.join(wanted.select("c"), "c", "left_semi"))
+    least = f"floor((size(delta) + {den - num}D / {den + num} * (nc - na)) / 2 + 1 - 1e-9)"
+    cut = t.select("c", "a", "label", "linked", F.expr(f"size(delta) - greatest(1, {least}) + 1").alias("prefix"), F.explode("delta").alias("e"))
+    seen = cut.groupBy("c", "e").agg(F.count("*").alias("df"))
+    rows = cut.join(seen, ["c", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("c", "a").orderBy("df", "e")))
+    rows = C.written(rows.where("df > 1").select("c", "e", "a", "label", "linked", (F.col("rank") <= F.col("prefix")).alias("early")))
+    x = rows.where("not linked").select("c", "e", F.col("a").alias("x"), F.col("label").alias("lx"), F.col("early").alias("ex"))
+    y = rows.where("early").select("c", "e", F.col("a").alias("y"), F.col("label").alias("ly"), F.col("linked").alias("yl"))
+    pairs = x.join(y, ["c", "e"]).where("lx <> ly and (yl or (ex and x < y))").select("c", "x", "y").distinct()
+    dx = t.select("c", F.col("a").alias("x"), F.col("na").alias("nx"), F.col("delta").alias("dx"))
+    dy = t.select("c", F.col("a").alias("y"), F.col("na").alias("ny"), F.col("delta").alias("dy"))
+    full = pairs.join(dx, ["c", "x"]).join(dy, ["c", "y"]).withColumn("far", F.expr("size(dx) + size(dy) - 2 * size(array_intersect(dx, dy))"))
+    return full.where(f"{den} * (nx + ny - far) >= {num} * (nx + ny + far)").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 100, bins: int = 512, rows: int = 8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -293,18 +297,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 1
     named = C.written(sketches.select("doc", "n", "s1", "s2").join(classes, ["s1", "s2"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")))
     reps = sketches.where("n > 0").join(classes.select(F.col("rep").alias("doc"), "s1", "s2"), ["s1", "s2", "doc"], "left_semi").select("doc", "n", "bands")
     n = C.partitions(sketches.select("bands"), 8)
-    edges = reps.mapInArrow(_star(n), "bucket int, key long, a long, c long, na int, nc int, blob binary")
-    edges = C.written(edges.repartitionById(n, F.col("bucket")).mapInArrow(_meet, EDGE))
-    pairs = C.written(edges.where(_fits("na", "nc", num, den)).selectExpr("greatest(a, c) as a", "least(a, c) as c").distinct())
-    # of rows that share an id, the one whose set was sketched for it is any of them: sets, not rows, are compared
+    sent = reps.mapInArrow(_collect(n), "bucket int, key long, doc long, n long, blob binary")
+    members = C.written(sent.repartitionById(n, F.col("bucket")).mapInArrow(_meet, "key long, doc long, n long"))
+    pairs = C.written(stars(members))
     texts = source.where("text is not null")
-    ids = pairs.selectExpr("a as doc").union(pairs.selectExpr("c")).distinct()
-    texts = texts.join(ids, "doc", "left_semi").dropDuplicates(["doc"]) if _repeated(sketches) else texts
-    links = C.written(confirmed(pairs, texts, width, num, den))
-    labels = components(links.selectExpr("a", "c as b"))
-    more = _rest(edges, labels, links, pairs, texts, width, num, den)
-    if more is not links:
-        labels = components(more.selectExpr("a", "c as b"))
+    if _repeated(sketches):  # of rows that share an id any one stands for it
+        ids = pairs.selectExpr("a as doc").union(pairs.selectExpr("c")).distinct()
+        texts = texts.join(ids, "doc", "left_semi").dropDuplicates(["doc"])
+    tested = C.written(confirmed(pairs, texts, width, num, den))
+    links = tested.where("linked").selectExpr("a", "c as b")
+    labels = components(links)
+    more = C.written(through_centres(tested, labels, num, den))
+    if more.limit(1).count():
+        labels = components(links.union(more))
     out = named.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("component", F.coalesce("label", "rep"))
     return out.select(C.unkey("doc").cast(docs.schema[doc_id].dataType).alias("doc_id"), F.col("n").alias("n_shingles"), C.unkey("rep").alias("class_id"), C.unkey("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
 
