@@ -20,6 +20,19 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.quality import judge
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    return judge(docs)
+
+
+def op6_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.chat import rotate
+
+    return rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.minhash import near_duplicates
 
@@ -44,12 +57,25 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, labels)
 
 
+def op10_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.sharding import shard
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+    crc = F.crc32(F.coalesce("text", F.lit("")))
+    out = shard(docs, size=size, group=F.col("text"))
+    return out.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_quality_rules": op3_quality_rules,
+    "op6_perspective_rotation": op6_perspective_rotation,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_toxicity": op9_toxicity,
+    "op10_histogram_sharding": op10_histogram_sharding,
 }
 
 ORACLES = {
@@ -62,6 +88,16 @@ ORACLES = {
         y AS (SELECT x.doc_id, count(*) FILTER (g.pos IS NOT NULL) AS n_removed, string_agg(x.word, ' ' ORDER BY x.pos) FILTER (g.pos IS NULL) AS kept FROM x LEFT JOIN g ON x.doc_id = g.doc_id AND x.pos = g.pos GROUP BY x.doc_id)
         SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM w LEFT JOIN y ON w.doc_id = y.doc_id""",
+    "op6_perspective_rotation": """
+        WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS content FROM conversations),
+        p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+        r AS (SELECT t.*, perspective, CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN speaker ELSE 'user name=' || speaker END AS tag FROM t JOIN p ON t.conv_id = p.conv_id),
+        s AS (SELECT *, '<|' || tag || '|>
+' || content || '<|end|>
+' AS rendered FROM r),
+        o AS (SELECT *, CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY turn, speaker, content ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_start FROM s)
+        SELECT conv_id, perspective, turn, speaker, tag, rendered, char_start, char_start + length(rendered) AS char_end, char_start + length(tag) + 5 AS content_start,
+            char_start + length(tag) + 5 + length(content) AS content_end, speaker = perspective AS loss FROM o""",
     "op7_minhash_near_dedup": """
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
