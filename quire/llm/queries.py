@@ -27,6 +27,20 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.license import scan
+
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def op5_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio: each embedding is played as a melody of 64 notes, written as WAV bytes."""
+    from quire.llm.chroma import aligned, fingerprints, rendered
+
+    media = rendered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "embedding", "vec_id")
+    return aligned(fingerprints(media)).withColumnRenamed("id", "vec_id")
+
+
 def op6_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.chat import rotate
 
@@ -71,6 +85,8 @@ QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_license_scan": op4_license_scan,
+    "op5_chroma_fingerprints": op5_chroma_fingerprints,
     "op6_perspective_rotation": op6_perspective_rotation,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
