@@ -1,8 +1,74 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five stages over ``documents``, each calling one operator of quire.llm.
 
-STAGES = []
+Every stage but the last returns the columns of ``documents``; the last returns
+packed pieces. Stages write nothing themselves: ``run`` writes each result as
+Parquet in the shared folder and rereads it as the next stage's input.
+
+Rows: the toxicity stage drops texts scored 0.5 or more, the near-duplicate stage
+all but one document of each component; the substring stage keeps every row with
+the words that are left; the mixing stage keeps the documents the mixture takes
+words from, with the words taken (the second pass over a source after the
+first); the packing stage returns a row for each piece. Nulls, empty texts, very
+long texts, ties, repeated rows and empty tables behave as each operator says.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm import common as C
+from quire.llm.minhash import near_duplicates
+from quire.llm.mixing import mix
+from quire.llm.packing import pack_documents
+from quire.llm.substring import remove_repeats
+from quire.llm.toxicity import score
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    rejected = score(docs.select("doc_id", "text"), labels).where("score >= 0.5").select("doc_id").distinct()
+    return docs.select(COLUMNS).join(rejected.hint("merge"), "doc_id", "left_anti").select(COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    dropped = near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct()
+    return docs.select(COLUMNS).join(dropped.hint("merge"), "doc_id", "left_anti").select(COLUMNS)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = remove_repeats(docs.select(COLUMNS))
+    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = C.written(docs.select(COLUMNS).withColumn("_row", F.monotonically_increasing_id()))  # a name for each row, repeated ones too
+    m = mix(rows, doc_id="_row")
+    parts = m.taken().groupBy("sid", "start").agg(F.sort_array(F.collect_list(F.struct("first", "n", "uses"))).alias("parts"))
+    taken = m.rows.where("size > 0").join(parts, ["sid", "start"]).select(F.col("doc_id").alias("_row"), "parts")
+    joined = rows.join(taken.hint("merge"), "_row")
+    joined = joined.withColumn("words", F.array_remove(F.split(F.translate("text", "\t\n\x0b\x0c\r", "     "), " "), ""))
+    passes = [F.expr(f"transform(filter(parts, p -> p.uses >= {k}), p -> slice(words, int(p.first + 1), int(p.n)))") for k in (1, 2)]
+    text = F.array_join(F.flatten(F.concat(*passes)), " ")
+    return joined.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mixing", mixing), ("packing", packing)]
+
+#: Nearest neighbours and a tokenizer are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = C.written(stage(spark, docs, sf_dir))
+    return docs
