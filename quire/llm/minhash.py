@@ -260,7 +260,7 @@ def through_centres(tested: DataFrame, labels: DataFrame, num: int, den: int) ->
     for any y that links with x, and likewise for x if y isn't linked with c either. So by the
     prefix principle, with the hashes of every D in one order, rarest first, x and y share a hash
     among the first |D| - t + 1 of D(y), t being the least such overlap; if both are unlinked,
-    among the first of both. Edits that no other text has come first and meet nothing, so the
+    among the first of both; and no more of them than follow the first one in both. Edits that no other text has come first and meet nothing, so the
     join stays near linear even where thousands of texts lie just below the bound.
     """
     from pyspark.sql import Window
@@ -271,13 +271,15 @@ def through_centres(tested: DataFrame, labels: DataFrame, num: int, den: int) ->
     wanted = t.where("not linked").groupBy("c").agg(F.count("*").alias("open"))
     t = C.written(t.join(wanted.select("c"), "c", "left_semi"))
     least = f"floor((size(delta) + {den - num}D / {den + num} * (nc - na)) / 2 + 1 - 1e-9)"
-    cut = t.select("c", "a", "label", "linked", F.expr(f"size(delta) - greatest(1, {least}) + 1").alias("prefix"), F.explode("delta").alias("e"))
+    cut = t.select("c", "a", "label", "linked", "na", F.size("delta").alias("d"), F.expr(f"size(delta) - greatest(1, {least}) + 1").alias("prefix"), F.explode("delta").alias("e"))
     seen = cut.groupBy("c", "e").agg(F.count("*").alias("df"))
     rows = cut.join(seen, ["c", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("c", "a").orderBy("df", "e")))
-    rows = C.written(rows.where("df > 1").select("c", "e", "a", "label", "linked", (F.col("rank") <= F.col("prefix")).alias("early")))
-    x = rows.where("not linked").select("c", "e", F.col("a").alias("x"), F.col("label").alias("lx"), F.col("early").alias("ex"))
-    y = rows.where("early").select("c", "e", F.col("a").alias("y"), F.col("label").alias("ly"), F.col("linked").alias("yl"))
-    pairs = x.join(y, ["c", "e"]).where("lx <> ly and (yl or (ex and x < y))").select("c", "x", "y").distinct()
+    rows = C.written(rows.where("df > 1").select("c", "e", "a", "label", "linked", "na", "d", (F.col("d") - F.col("rank")).alias("after"), (F.col("rank") <= F.col("prefix")).alias("early")))
+    x = rows.where("not linked").selectExpr("c", "e", "a as x", "label as lx", "early as ex", "na as nx", "d as dx", "after as ax")
+    y = rows.where("early").selectExpr("c", "e", "a as y", "label as ly", "linked as yl", "na as ny", "d as dy", "after as ay")
+    # at their first common hash x and y can share no more than what follows it in both
+    enough = f"2 * (1 + least(ax, ay)) >= dx + dy - {den - num}D / {den + num} * (nx + ny) - 1e-6"
+    pairs = x.join(y, ["c", "e"]).where(f"lx <> ly and (yl or (ex and x < y)) and {enough}").select("c", "x", "y").distinct()
     dx = t.select("c", F.col("a").alias("x"), F.col("na").alias("nx"), F.col("delta").alias("dx"))
     dy = t.select("c", F.col("a").alias("y"), F.col("na").alias("ny"), F.col("delta").alias("dy"))
     full = pairs.join(dx, ["c", "x"]).join(dy, ["c", "y"]).withColumn("far", F.expr("size(dx) + size(dy) - 2 * size(array_intersect(dx, dy))"))
