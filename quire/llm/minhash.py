@@ -201,8 +201,8 @@ def stars(members: DataFrame) -> DataFrame:
     """Distinct pairs (a, c) of bucket members with their bucket's centre, the member whose buckets are largest in all."""
     size = members.groupBy("key").agg(F.count("*").alias("m"))
     weight = members.join(size, "key").groupBy("doc").agg(F.sum("m").alias("w"))
-    centre = members.join(weight, "doc").groupBy("key").agg(F.max(F.struct("w", (-F.col("doc")).alias("d")))["d"].alias("d"))
-    return members.join(centre.select("key", (-F.col("d")).alias("c")), "key").where("doc <> c").select(F.col("doc").alias("a"), "c").distinct()
+    centre = members.join(weight, "doc").groupBy("key").agg(F.max(F.struct("w", F.bitwise_not("doc").alias("d")))["d"].alias("d"))
+    return members.join(centre.select("key", F.bitwise_not("d").alias("c")), "key").where("doc <> c").select(F.col("doc").alias("a"), "c").distinct()
 
 
 TESTED = "a long, c long, na long, nc long, linked boolean, delta array<long>"
