@@ -104,6 +104,26 @@ ORACLES = {
         y AS (SELECT x.doc_id, count(*) FILTER (g.pos IS NOT NULL) AS n_removed, string_agg(x.word, ' ' ORDER BY x.pos) FILTER (g.pos IS NULL) AS kept FROM x LEFT JOIN g ON x.doc_id = g.doc_id AND x.pos = g.pos GROUP BY x.doc_id)
         SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM w LEFT JOIN y ON w.doc_id = y.doc_id""",
+    "op3_quality_rules": """
+        WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+        g AS (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) >= 3),
+        k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS k FROM g),
+        r AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS pos FROM k WHERE k > 1) GROUP BY doc_id),
+        l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM w),
+        b AS (SELECT w.doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+            CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM w JOIN l ON l.doc_id = w.doc_id LEFT JOIN r ON r.doc_id = w.doc_id),
+        m AS (SELECT doc_id, lang, source, n_words, unnest(['symbols', 'dup_lines', 'repeats', 'mean_chars']) AS metric, unnest([100, 400, 400, 150]) AS least,
+            unnest([1000 * n_symbols // greatest(n_words, 1), 1000 * n_dup_lines // greatest(n_lines, 1), 1000 * n_repeat_words // greatest(n_words, 1), 100 * word_chars // greatest(n_words, 1)]) AS v FROM b),
+        h AS (SELECT lang, source, metric, least, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS bucket FROM m WHERE n_words >= 50),
+        a AS (SELECT 2 AS level, lang, source, metric, least, bucket, count(*) AS n FROM h GROUP BY ALL UNION ALL SELECT 1, lang, NULL, metric, least, bucket, count(*) FROM h GROUP BY ALL UNION ALL SELECT 0, NULL, NULL, metric, least, bucket, count(*) FROM h GROUP BY ALL),
+        u AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS up, sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM a),
+        q AS (SELECT level, lang, source, metric, least, max(total) AS docs, min(bucket) FILTER (4 * up >= total) AS q1, min(bucket) FILTER (4 * up >= 3 * total) AS q3 FROM u GROUP BY ALL),
+        f AS (SELECT level, lang, source, metric, q1 - greatest(3 * (q3 - q1), least) AS lo, q3 + greatest(3 * (q3 - q1), least) AS hi FROM q WHERE docs >= 100 OR level = 0),
+        x AS (SELECT m.doc_id, bool_and(v >= coalesce(f2.lo, f1.lo, f0.lo, v) AND v <= coalesce(f2.hi, f1.hi, f0.hi, v)) AS fits FROM m
+            LEFT JOIN f f2 ON f2.level = 2 AND f2.lang IS NOT DISTINCT FROM m.lang AND f2.source IS NOT DISTINCT FROM m.source AND f2.metric = m.metric
+            LEFT JOIN f f1 ON f1.level = 1 AND f1.lang IS NOT DISTINCT FROM m.lang AND f1.metric = m.metric LEFT JOIN f f0 ON f0.level = 0 AND f0.metric = m.metric GROUP BY m.doc_id)
+        SELECT b.doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+            NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND fits AS kept FROM b JOIN x ON x.doc_id = b.doc_id""",
     "op6_perspective_rotation": """
         WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS content FROM conversations),
         p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
@@ -118,8 +138,8 @@ ORACLES = {
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
-        e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 85 * (x.n + y.n - both)),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
         l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
         r AS (SELECT doc_id AS node, doc_id AS low FROM documents UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.node WHERE r.low < l.b),
         c AS (SELECT node, min(low) AS component_id FROM r GROUP BY node)
