@@ -23,7 +23,9 @@ others; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import re
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,74 +36,138 @@ from quire.llm import common as C
 
 
 # ---------------------------------------------------------------- tokens
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
+
+
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+
+
+def _byte_names() -> dict[str, int]:
+    """Characters that byte-level vocabularies write bytes with: printable ones themselves, others from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 class WordTokenizer:
-    """Ids of a tokenizer that never joins words across white space, with a table of the words met.
+    """Ids of a tokenizer that folds case, drops white space and never joins letters with marks.
 
-    The table is emptied when it holds ``most`` words; that costs time, never results.
+    Texts are cut into units where that changes no id: at white space, and between an ASCII letter
+    and the mark behind it. Units are looked up in a table; at ``most`` units the half that was used
+    longest ago leaves it, which costs time, never results. Unknown units of plain lower-case letters
+    go through the same merges as ranks of bytes, in which NUL stands for the end of a word; all
+    others, and texts that hold the name of a special token in any case, through the tokenizer itself.
     """
 
-    def __init__(self, path: str, end: int, most: int = 400_000):
+    def __init__(self, path: str, end: int, most: int = 250_000):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.model, self.end, self.most = Tokenizer.from_file(path), end, most
-        self._clear()
-
-    def _clear(self) -> None:
-        self.at: dict[bytes, int] = {b"": 0}  # the empty word stands for the end token
-        self.flat, self.used = np.full(1024, self.end, np.uint32), 1
-        self.start, self.size = np.zeros(1024, np.int64), np.ones(1024, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.at) + len(words) > self.most:
-            self._clear()
-        for lo in range(0, len(words), 10_000):
-            part = words[lo : lo + 10_000]
-            ids = [e.ids for e in self.model.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
-            new = np.fromiter((x for i in ids for x in i), np.uint32)
-            while self.used + len(new) > len(self.flat):
-                self.flat = np.append(self.flat, np.zeros_like(self.flat))
-            while len(self.at) + len(part) > len(self.start):
-                self.start, self.size = (np.append(x, np.zeros_like(x)) for x in (self.start, self.size))
-            self.flat[self.used : self.used + len(new)] = new
-            n = np.array([len(i) for i in ids])
-            k = len(self.at)
-            self.start[k : k + len(part)] = self.used + np.cumsum(n) - n
-            self.size[k : k + len(part)] = n
-            self.used += len(new)
-            self.at.update((w, k + i) for i, w in enumerate(part))
+        names = _byte_names()
+        vocab = self.model.get_vocab(with_added_tokens=False)
+        ranks, self.closes = {}, np.zeros(max(vocab.values(), default=0) + 1, bool)
+        for t, i in vocab.items():
+            body = t.removesuffix("</w>")
+            if all(c in names for c in body):
+                ranks[bytes(names[c] for c in body) + b"\0" * (body != t)] = i
+                self.closes[i] = body != t
+        self.fast = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+        self.special = [t.content.encode().lower() for t in self.model.get_added_tokens_decoder().values()]
+        self.at: dict[bytes, int] = {b"": 0}  # the empty unit stands for the end token
+        self.flat, self.used, self.turn = np.full(1024, end, np.uint32), 1, 0
+        self.start, self.size, self.last = (np.zeros(1024, np.int64) for _ in range(3))
+        self.size[0] = 1
+
+    def _forget(self) -> None:
+        n = len(self.at)
+        keep = self.last[:n] > np.median(self.last[1:n]) if n > 1 else np.ones(n, bool)
+        keep[0] = True
+        start, size = self.start[:n][keep], self.size[:n][keep]
+        at = np.cumsum(size) - size
+        self.flat = self.flat[np.repeat(start - at, size) + np.arange(size.sum())]
+        self.used = len(self.flat)
+        self.at = {w: i for i, w in enumerate(w for w, k in zip(self.at, keep.tolist(), strict=True) if k)}
+        self.start[: len(at)], self.size[: len(at)], self.last[: len(at)] = at, size, self.last[:n][keep]
+
+    def _learn(self, units: list[bytes]) -> None:
+        plain: list[bytes] = []
+        other: list[bytes] = []
+        for w in units:
+            (plain if _PLAIN.fullmatch(w.decode("utf-8", "replace")) else other).append(w)
+        for lo in range(0, len(plain), 50_000):
+            part = plain[lo : lo + 50_000]
+            new = np.array(self.fast.encode_ordinary((b"\0".join(part) + b"\0").decode()), np.uint32)
+            n = np.diff(np.append(-1, np.flatnonzero(self.closes[new])))
+            if len(n) != len(part):
+                raise RuntimeError("the vocabulary has no plain word ends")
+            self._add(part, new, n)
+        for lo in range(0, len(other), 10_000):
+            part = other[lo : lo + 10_000]
+            ids = [e.ids for e in self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
+            self._add(part, np.fromiter((x for i in ids for x in i), np.uint32), np.array([len(i) for i in ids]))
+
+    def _add(self, part: list[bytes], new: np.ndarray, n: np.ndarray) -> None:
+        k = len(self.at)
+        if self.used + len(new) > len(self.flat):
+            self.flat = np.append(self.flat[: self.used], np.zeros(self.used + len(new), np.uint32))
+        if k + len(part) > len(self.start):
+            self.start, self.size, self.last = (np.append(x, np.zeros(len(x) + len(part), np.int64)) for x in (self.start, self.size, self.last))
+        self.flat[self.used : self.used + len(new)] = new
+        self.start[k : k + len(part)] = self.used + np.cumsum(n) - n
+        self.size[k : k + len(part)] = n
+        self.used += len(new)
+        self.at.update(zip(part, range(k, k + len(part)), strict=True))
+
+    @staticmethod
+    def _cut(text: bytes) -> list[bytes]:
+        raw = np.frombuffer(text, np.uint8)
+        at = np.flatnonzero(_LETTER[raw[:-1]] & _MARK[raw[1:]]) + 1
+        if not len(at):
+            return text.split()
+        out = np.full(len(raw) + len(at), 32, np.uint8)
+        out[np.arange(len(raw)) + np.repeat(np.arange(len(at) + 1), np.diff(np.concatenate(([0], at, [len(raw)]))))] = raw
+        return out.tobytes().split()
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, each with its end token; the number of ids of each."""
-        words: list[bytes] = []
+        if len(self.at) > self.most:
+            self._forget()
+        self.turn += 1
+        low = [t.lower() for t in texts]
+        odd = {i for i, t in enumerate(low) if b"<|" in t and any(s in t for s in self.special)}
+        units: list[bytes] = []
         last = []
-        for t in texts:
-            words += t.split()
-            words.append(b"")
-            last.append(len(words))
-        new = list(set(words).difference(self.at))
-        if new:
-            self._learn(new)
-            if len(new) != len(set(words)) and not all(w in self.at for w in new):
-                raise RuntimeError("words were lost")
-        missing = set(words).difference(self.at)
-        if missing:  # the table has been emptied meanwhile
-            self._learn(list(missing))
-        k = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        for i, t in enumerate(low):
+            if i not in odd:
+                units += self._cut(t)
+            units.append(b"")
+            last.append(len(units))
+        k = np.fromiter(map(self.at.get, units, repeat(-1)), np.int64, len(units))
+        lost = np.flatnonzero(k < 0)
+        if len(lost):
+            missing = [units[i] for i in lost.tolist()]
+            self._learn(list(dict.fromkeys(missing)))
+            k[lost] = np.fromiter(map(self.at.__getitem__, missing), np.int64, len(missing))
+        self.last[k] = self.turn
         size = self.size[k]
         end = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[k] - end + size, size) + np.arange(end[-1] if len(end) else 0)]
         n = np.diff(np.append(0, end[np.array(last, np.int64) - 1])) if last else np.zeros(0, np.int64)
+        if odd:
+            parts = np.split(ids, np.cumsum(n)[:-1])
+            for i in odd:
+                parts[i] = np.append(np.array(self.model.encode(texts[i].decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32), np.uint32(self.end))
+            ids, n = np.concatenate(parts), np.array([len(x) for x in parts])
         return ids, n
 
 
-_tokenizers: dict[tuple, WordTokenizer] = {}
-
-
 def _pieces(path: str, end: int, capacity: int, keep_ids: bool):
     def run(batches):
-        if (path, end) not in _tokenizers:
-            _tokenizers[path, end] = WordTokenizer(path, end)
-        model = _tokenizers[path, end]
+        model = WordTokenizer(path, end)  # for this task alone: workers are reused, and its table is large
         for whole in batches:
             for b in C.sliced(whole, "text"):
                 ids, n = model.encode([x.as_buffer().to_pybytes() if x.is_valid else b"" for x in b.column("text")])
@@ -125,7 +191,7 @@ def pieces(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = 4096,
     """(doc_id, piece, start, length, ids_crc32[, ids]): a document's ids and the end token, cut at the capacity."""
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(_pieces(tokenizer, end, capacity, keep_ids), schema)
+    return docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(C.tidy(_pieces(tokenizer, end, capacity, keep_ids)), schema)
 
 
 # ---------------------------------------------------------------- solver
