@@ -168,6 +168,26 @@ def sliced(batch: pa.RecordBatch, column: str, limit: int = 2**22) -> Iterator[p
         at, base = to, total[to - 1]
 
 
+def tidy(run):
+    """A mapInArrow function that gives freed memory back to the system at the end of each task.
+
+    Python workers are reused; what a task leaves in their heaps would stay beside the next stage's.
+    """
+
+    def tidied(batches):
+        import ctypes
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+            if trim:
+                trim(0)
+
+    return tidied
+
+
 # ---------------------------------------------------------------- blobs
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     """0 <= bucket < n from the upper bits; what blobs keep are the lower 56 bits."""

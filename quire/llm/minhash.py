@@ -127,7 +127,7 @@ def _sketch(width: int, bins: int, rows: int):
     return run
 
 
-def _collect(buckets: int, flush: int = 3_000_000):
+def _collect(buckets: int, flush: int = 1_500_000):
     """Rows (key, doc, n) of keys that meet inside a task, and packed firsts of all keys.
 
     Of a key with several members here only the first goes on, marked as already
@@ -248,7 +248,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int
     n = C.partitions(texts, 16)
     rows = members.unionByName(centres).join(texts.hint("merge"), "doc").select("c", "part", "alone", (F.col("doc") != F.col("c")).alias("member"), "doc", "text")
     rows = rows.repartition(n, "c", "part").sortWithinPartitions("c", "part", "member", "doc")
-    return rows.mapInArrow(_confirm(width, num, den), TESTED)
+    return rows.mapInArrow(C.tidy(_confirm(width, num, den)), TESTED)
 
 
 def through_centres(tested: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
@@ -294,13 +294,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 1
     one document of a component that stays.
     """
     source = docs.select(C.key_of(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
-    sketches = C.written(source.mapInArrow(_sketch(width, bins, rows), SKETCH))
+    sketches = C.written(source.mapInArrow(C.tidy(_sketch(width, bins, rows)), SKETCH))
     classes = sketches.where("n > 0").groupBy("s1", "s2").agg(F.min("doc").alias("rep"))
     named = C.written(sketches.select("doc", "n", "s1", "s2").join(classes, ["s1", "s2"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")))
     reps = sketches.where("n > 0").join(classes.select(F.col("rep").alias("doc"), "s1", "s2"), ["s1", "s2", "doc"], "left_semi").select("doc", "n", "bands")
     n = C.partitions(sketches.select("bands"), 8)
-    sent = reps.mapInArrow(_collect(n), "bucket int, key long, doc long, n long, blob binary")
-    members = C.written(sent.repartitionById(n, F.col("bucket")).mapInArrow(_meet, "key long, doc long, n long"))
+    sent = reps.mapInArrow(C.tidy(_collect(n)), "bucket int, key long, doc long, n long, blob binary")
+    members = C.written(sent.repartitionById(n, F.col("bucket")).mapInArrow(C.tidy(_meet), "key long, doc long, n long"))
     pairs = C.written(stars(members))
     texts = source.where("text is not null")
     if _repeated(sketches):  # of rows that share an id any one stands for it

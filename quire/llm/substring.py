@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from quire.llm import common as C
 
-FLUSH = 3_000_000
+FLUSH = 1_500_000
 
 
 def _local(h, doc, place):
@@ -145,8 +145,8 @@ def _judge(buckets: int):
 def repeats(docs: DataFrame, n: int, width: int, text: str, doc_id: str) -> DataFrame:
     """(bucket, blob): packed starts of all windows that also start earlier, dealt into ``n`` buckets of documents."""
     rows = docs.select(C.key_of(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
-    sent = rows.mapInArrow(_scan(width, n), "bucket int, marks boolean, blob binary")
-    return sent.repartitionById(n, F.col("bucket")).mapInArrow(_judge(n), "bucket int, blob binary")
+    sent = rows.mapInArrow(C.tidy(_scan(width, n)), "bucket int, marks boolean, blob binary")
+    return sent.repartitionById(n, F.col("bucket")).mapInArrow(C.tidy(_judge(n)), "bucket int, blob binary")
 
 
 def intervals(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,4 +217,4 @@ def remove_repeats(docs: DataFrame, width: int = 20, text: str = "text", doc_id:
     marks = repeats(docs, n, width, text, doc_id).select(*[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in rest], F.lit(None).cast("string").alias("_q_text"), F.lit(None).cast("long").alias("_q_key"), F.col("blob").alias("_q_blob"), F.col("bucket").alias("_q_bucket"))
     met = rows.union(marks).repartitionById(n, F.col("_q_bucket")).withColumn("_q_doc", F.col("_q_blob").isNull()).sortWithinPartitions("_q_doc").drop("_q_bucket", "_q_doc")
     schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in rest] + list(T._parse_datatype_string("kept_text string, n_words long, n_removed long, removed_spans array<struct<`from`:int,`to`:int>>")))
-    return met.mapInArrow(_cut(width, schema), schema)
+    return met.mapInArrow(C.tidy(_cut(width, schema)), schema)

@@ -59,7 +59,7 @@ def _distinct_terms(batches):
 
 def choose_terms(examples: DataFrame, max_terms: int, least_docs: int = 4, least_ratio: float = 12.0) -> list[str]:
     """Terms tied to label 1: by log-likelihood ratio, seen in ``least_docs`` toxic examples or more."""
-    seen = examples.select("y", "text").mapInArrow(_distinct_terms, "y int, terms array<string>")
+    seen = examples.select("y", "text").mapInArrow(C.tidy(_distinct_terms), "y int, terms array<string>")
     by = seen.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
     size = examples.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("y")).first()
     n1, n0 = size["y"], size["n"] - size["y"]
@@ -216,7 +216,7 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0
     size = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count("*").alias("n")).collect()}
     examples = C.written(rows.join(F.broadcast(chosen), "doc").dropDuplicates(["doc"]))
     terms = choose_terms(examples, max_terms)
-    counted = C.written(rows.mapInArrow(_counts(terms), rows.drop("text").schema.simpleString()[7:-1].replace(":", " ") + ", terms array<int>, freq array<int>"))
+    counted = C.written(rows.mapInArrow(C.tidy(_counts(terms)), rows.drop("text").schema.simpleString()[7:-1].replace(":", " ") + ", terms array<int>, freq array<int>"))
     stats = counted.agg(F.count("*").alias("n")).first()["n"]
     df = {r["t"]: r["n"] for r in counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
     idf = np.array([math.log((1 + stats) / (1 + df.get(i, 0))) for i in range(len(terms))])
@@ -242,6 +242,6 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0
             votes.append(vote(index, rows[other][:k], s[other][:k], base, prior))
         curve = platt(np.array(votes), index.y, index.weight)
     index.vectors = None
-    scored = counted.mapInArrow(_vote(index, idf, filler, base, curve, k, prior, evidence), counted.select("doc").schema.simpleString()[7:-1].replace(":", " ") + ", score double, evidence array<long>, cosines array<double>")
+    scored = counted.mapInArrow(C.tidy(_vote(index, idf, filler, base, curve, k, prior, evidence)), counted.select("doc").schema.simpleString()[7:-1].replace(":", " ") + ", score double, evidence array<long>, cosines array<double>")
     held = F.coalesce(crc_mod("doc", folds) == held_fold, F.lit(False))
     return scored.select(F.col("doc").alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "cosines")
