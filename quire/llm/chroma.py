@@ -152,8 +152,15 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
     return int(best), int(hi - lo), float(wrong / (32 * max(1, hi - lo)))
 
 
-def _prints(batches):
+def _small(batches, rows: int = 64):
+    """Recordings are large: a few of a batch at a time."""
     for b in batches:
+        for lo in range(0, len(b), rows):
+            yield b.slice(lo, rows)
+
+
+def _prints(batches):
+    for b in _small(batches):
         got = [fingerprint(x) for x in b.column("audio").to_pylist()]
         flat = np.concatenate([*got, np.zeros(0, np.uint32)]).astype(np.int64)
         yield pa.RecordBatch.from_arrays([b.column("id"), C.ragged(flat, np.array([len(x) for x in got], np.int64), pa.int64())], ["id", "print"])
@@ -161,12 +168,12 @@ def _prints(batches):
 
 def fingerprints(media: DataFrame, audio: str = "audio", media_id: str = "id") -> DataFrame:
     """(id, print): a list of 32-bit integers for each recording."""
-    return media.select(C.key_of(media_id).alias("id"), F.col(audio).cast("binary").alias("audio")).mapInArrow(_prints, "id long, print array<long>")
+    return media.select(C.key_of(media_id).alias("id"), F.col(audio).cast("binary").alias("audio")).mapInArrow(C.tidy(_prints), "id long, print array<long>")
 
 
 def _compare(most_error: float, least_overlap: int):
     def run(batches):
-        for b in batches:
+        for b in _small(batches, 1000):
             rows = []
             for a, c, x, y in zip(*(b.column(k).to_pylist() for k in ("a", "c", "pa", "pc")), strict=True):
                 off, over, err = align(np.array(y, np.uint32), np.array(x, np.uint32))
@@ -229,7 +236,7 @@ def _tones(rate: int, note: float):
     fade = np.minimum(1, np.minimum(np.arange(size), np.arange(size)[::-1]) / (size / 16))
 
     def run(batches):
-        for b in batches:
+        for b in _small(batches):
             out = []
             for v in b.column("v").to_pylist():
                 v = np.array([x if x is not None and np.isfinite(x) else 0.0 for x in v or []])
@@ -242,4 +249,4 @@ def _tones(rate: int, note: float):
 
 def rendered(vectors: DataFrame, column: str, vector_id: str, rate: int = 4000, note: float = 0.1) -> DataFrame:
     """(id, audio): each vector played as a melody, a note for each number. Stands in for a media table."""
-    return vectors.select(F.col(vector_id).alias("id"), F.col(column).alias("v")).mapInArrow(_tones(rate, note), "id long, audio binary")
+    return vectors.select(F.col(vector_id).alias("id"), F.col(column).alias("v")).mapInArrow(C.tidy(_tones(rate, note)), "id long, audio binary")
