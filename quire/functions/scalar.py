@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 def clamp_timeout(v: Column) -> Column:
     """MTH-1: whole minutes from 10 to 1440, 240 if there is none."""
-    return F.coalesce(F.least(F.greatest(F.floor(v + 0.5), F.lit(10)), F.lit(1440)), F.lit(240)).cast("int")
+    return F.least(F.greatest(F.floor(F.coalesce(v, F.lit(240.0)) + 0.5), F.lit(10)), F.lit(1440)).cast("int")
 
 
 def clamp_shrink(v: Column) -> Column:
     """MTH-1: 0 to 3 in steps of 0.5, 1.5 if there is none."""
-    return F.coalesce(F.least(F.greatest(F.floor(v * 2 + 0.5) / 2, F.lit(0.0)), F.lit(3.0)), F.lit(1.5))
+    return F.least(F.greatest(F.floor(F.coalesce(v, F.lit(1.5)) * 2 + 0.5) / 2, F.lit(0.0)), F.lit(3.0))
 
 
 def progress(status: Column, stored: Column, elapsed: Column) -> Column:
