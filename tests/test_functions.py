@@ -39,7 +39,7 @@ def test_text_predicates(spark):
     one = lambda f, t: value(spark, f(F.col("t")), t=t)
     assert one(X.collapse, " a  b\t") == "a b"
     assert one(X.math_density, "a∑≤ ") == pytest.approx(2 / 3) and one(X.math_density, "") == 0.0
-    assert one(X.private_dominant, "a") and not one(X.private_dominant, "abc")
+    assert one(X.private_dominant, "\ue000a") and not one(X.private_dominant, "abc\ue000")
     assert one(X.is_skip, "12 34 5") and not one(X.is_skip, "12 字") and not one(X.is_skip, "words here")
     head = lambda t: value(spark, X.is_heading(F.col("t"), F.col("t")), t=t)
     assert all(map(head, ["IV. Results", "3.1. Method here", "A. Setup", "Abstract", "References"])) and not head("plain words") and not head("Abstract " + "x" * 120)
@@ -52,7 +52,7 @@ def test_text_predicates(spark):
     assert value(spark, X.figure_text(F.lit(50.0), F.lit("Axis label"), F.lit(1), F.lit("vec"), F.lit(300.0)))
     assert not value(spark, X.figure_text(F.lit(50.0), F.lit("This is a sentence that ends with a stop."), F.lit(1), F.lit("img"), F.lit(300.0)))
     assert one(X.cites, "Smith, J. et al., (Nature) 2019, 4") and one(X.cites, "see doi 10.1/x for the rest") and not one(X.cites, "2019, A")
-    assert one(X.decode_symbols, "a") == "a≤α∑"
+    assert one(X.decode_symbols, "a\uf0a3\uf061\uf0e5") == "a≤α∑"
 
 
 def test_rewrites(spark):
