@@ -45,6 +45,15 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; results that haven't been read out yet go with them."""
+    app = spark.sparkContext.applicationId
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own.get(app)
+    if base:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/quire-{app}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(df: DataFrame, mb: float) -> int:
     """Partitions of about ``mb`` MB of ``df``'s estimated size, never fewer than spark.sql.shuffle.partitions."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -292,3 +292,13 @@ def test_pipeline_without_rows(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_cleanup(spark):
+    from quire.llm import common as C
+
+    kept = C.written(spark.range(3))
+    assert kept.count() == 3
+    C.cleanup(spark)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|FileNotFound"):
+        kept.count()
