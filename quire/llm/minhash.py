@@ -295,7 +295,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 1
     """
     source = docs.select(C.key_of(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
     sketches = C.written(source.mapInArrow(C.tidy(_sketch(width, bins, rows)), SKETCH))
-    classes = sketches.where("n > 0").groupBy("s1", "s2").agg(F.min("doc").alias("rep"))
+    # a table of its own: a join beside the aggregation's own exchange couldn't be split where one class is hot
+    classes = C.written(sketches.where("n > 0").groupBy("s1", "s2").agg(F.min("doc").alias("rep")))
     named = C.written(sketches.select("doc", "n", "s1", "s2").join(classes, ["s1", "s2"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")))
     reps = sketches.where("n > 0").join(classes.select(F.col("rep").alias("doc"), "s1", "s2"), ["s1", "s2", "doc"], "left_semi").select("doc", "n", "bands")
     n = C.partitions(sketches.select("bands"), 8)
