@@ -145,7 +145,8 @@ def _collect(buckets: int, flush: int = 1_500_000):
             at, count = C.runs(key)
             many = np.repeat(count > 1, count)
             if many.any():
-                yield pa.RecordBatch.from_arrays([pa.array(C.bucket_of(key[many], buckets), pa.int32()), pa.array(key[many].view(np.int64)), pa.array(doc[many]), pa.array(n[many]), pa.nulls(int(many.sum()), pa.binary())], names)
+                # these meet nothing any more, so they are dealt out by document, not by their hot key
+                yield pa.RecordBatch.from_arrays([pa.array(C.id_bucket(doc[many], buckets), pa.int32()), pa.array(key[many].view(np.int64)), pa.array(doc[many]), pa.array(n[many]), pa.nulls(int(many.sum()), pa.binary())], names)
             key, doc, n, told = key[at], doc[at], n[at], (count > 1).astype(np.int64)
             to = C.bucket_of(key, buckets)
             order = np.lexsort((told, doc, to))
