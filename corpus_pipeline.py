@@ -5,7 +5,8 @@ packed pieces. Stages write nothing themselves: ``run`` writes each result as
 Parquet in the shared folder and rereads it as the next stage's input.
 
 Rows: the toxicity stage drops texts scored 0.5 or more, the near-duplicate stage
-all but one document of each component; the substring stage keeps every row with
+all but one document of each component over links of similarity 0.80 or more of
+5-word shingle sets (op7's query links at 0.85); the substring stage keeps every row with
 the words that are left; the mixing stage keeps the documents the mixture takes
 words from, with the words taken (the second pass over a source after the
 first); the packing stage returns a row for each piece. Nulls, empty texts, very
@@ -34,7 +35,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    dropped = near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct()
+    dropped = near_duplicates(docs.select("doc_id", "text"), num=80, den=100).where("not kept").select("doc_id").distinct()
     return docs.select(COLUMNS).join(dropped.hint("merge"), "doc_id", "left_anti").select(COLUMNS)
 
 

@@ -286,6 +286,24 @@ def test_pipeline_stages(spark, tmp_path):
     assert P.run(spark, str(tmp_path)).count() == kept[5].count()
 
 
+def test_pipeline_near_bound(spark):
+    """The stage links at 0.80: similarities 86 / 106 and 4 / 5 go, 85 / 107 stays."""
+    import corpus_pipeline as P
+
+    def edited(name, n, *at):
+        w = [f"{name}{k}" for k in range(n)]
+        return " ".join(w), " ".join(f"x{k}" if k in at else x for k, x in enumerate(w))
+
+    a, b = edited("a", 100, 30, 60)
+    c, _ = edited("c", 93, 0)  # 89 shingles
+    d, e = edited("d", 100, 20, 50, 97)
+    f = " ".join(f"f{k}" for k in range(9))
+    rows = [(1, a), (2, b), (3, c), (4, d), (5, e), (6, f), (7, " ".join(f.split()[:8]))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA)
+    got = {r.doc_id for r in P.near_dedup(spark, docs, "").collect()}
+    assert got == {i for i, (_, low) in brute_near(rows, 80).items() if low == i} == {1, 3, 4, 5, 6}
+
+
 def test_pipeline_without_rows(spark, tmp_path):
     import corpus_pipeline as P
 
