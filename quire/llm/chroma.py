@@ -10,12 +10,14 @@ bits, and a frame's 32 bits are one packed integer.
 Alignment of two recordings: equal integers vote for an offset in a histogram;
 at the fullest offset the share of unequal bits over the overlap is the bit
 error. They link if it is at most ``most_error`` over ``least_overlap`` integers
-or more. Candidates share a run of ``run`` successive integers that isn't flat
-(frames without sound carry no evidence).
+or more. Candidates are all pairs with an equal integer other than 0 (frames
+without sound carry no evidence): without one no offset gets a vote, so none
+that the law links is left out.
 
-Equal fingerprints collapse into classes first. Then each run's holders pair with
-the smallest of them; where holders stay in different components, further ones
-become centres in turns of 1, 2, 4 ..., until all have been. No cap.
+Equal fingerprints collapse into classes first. Their representatives are dealt
+into blocks by a hash of the id, and every two blocks meet in one group, which
+finds its pairs with an equal integer and tests each. So all links are confirmed,
+those inside a component too. Pairs grow with the square of the recordings. No cap.
 
 Edge cases: null, empty, foreign or broken bytes have an empty fingerprint, as
 have recordings shorter than the filters; they link with nothing; repeated rows
@@ -31,7 +33,8 @@ import wave
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import common as C
@@ -171,61 +174,107 @@ def fingerprints(media: DataFrame, audio: str = "audio", media_id: str = "id") -
     return media.select(C.key_of(media_id).alias("id"), F.col(audio).cast("binary").alias("audio")).mapInArrow(C.tidy(_prints), "id long, print array<long>")
 
 
-def _compare(most_error: float, least_overlap: int):
-    def run(batches):
-        for b in _small(batches, 1000):
-            rows = []
-            for a, c, x, y in zip(*(b.column(k).to_pylist() for k in ("a", "c", "pa", "pc")), strict=True):
-                off, over, err = align(np.array(y, np.uint32), np.array(x, np.uint32))
-                if over >= least_overlap and err <= most_error:
-                    rows.append((a, c, off, over, err))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], ["a", "c", "offset", "overlap", "bit_error"])
+def _spread(n: np.ndarray) -> np.ndarray:
+    """0 ... n - 1 for each n in turn."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _offsets(x: np.ndarray, nx: np.ndarray, ids_x: np.ndarray, y: np.ndarray, ny: np.ndarray, ids_y: np.ndarray, chunk: int = 2**21):
+    """(i, j, offset of y in x) of all pairs with an equal integer other than 0, as ``align`` has it for the
+    smaller id and the larger one.
+
+    Flat prints, their lengths and ids; pairs come in parts of about ``chunk`` equal integers.
+    """
+    rx, px, ry, py = np.repeat(np.arange(len(nx)), nx), _spread(nx), np.repeat(np.arange(len(ny)), ny), _spread(ny)
+    order = np.argsort(y, kind="stable")
+    first, last = (np.searchsorted(y[order], x, side) for side in ("left", "right"))
+    met = np.where(x != 0, last - first, 0)
+    by = np.bincount(rx, met, len(nx)).astype(np.int64)
+    part = (np.cumsum(by) - by) // chunk
+    zero_x, zero_y = np.bincount(rx[x == 0], minlength=len(nx)) > 0, np.bincount(ry[y == 0], minlength=len(ny)) > 0
+    wide = int(max(nx.max(), ny.max())) + 1
+    for k in np.unique(part[by > 0]):
+        at = np.flatnonzero((part[rx] == k) & (met > 0))
+        to = order[np.repeat(first[at], met[at]) + _spread(met[at])]
+        at = np.repeat(at, met[at])
+        key, votes = np.unique((rx[at] * len(ny) + ry[to]) * (2 * wide) + px[at] - py[to] + wide, return_counts=True)
+        pair, shift = key // (2 * wide), key % (2 * wide) - wide
+        sign = np.where(ids_x[pair // len(ny)] > ids_y[pair % len(ny)], -1, 1)  # ties between two offsets go by the ids alone
+        best = np.lexsort((shift * sign, np.abs(shift), -votes, pair))
+        best = best[np.append(True, np.diff(pair[best]) > 0)]
+        i, j, shift = pair[best] // len(ny), pair[best] % len(ny), shift[best]
+        for p in np.flatnonzero(zero_x[i] & zero_y[j]):  # zeros vote too
+            one, two = x[rx == i[p]], y[ry == j[p]]
+            shift[p] = -align(two, one)[0] if ids_x[i[p]] > ids_y[j[p]] else align(one, two)[0]
+        yield i, j, shift
+
+
+def links_between(x: np.ndarray, nx: np.ndarray, ids_x: np.ndarray, y: np.ndarray, ny: np.ndarray, ids_y: np.ndarray, most_error: float, least_overlap: int, chunk: int = 2**21):
+    """(i, j, offset, overlap, bit_error) of the pairs that link; offset is y's in x."""
+    x, y = x.astype(np.uint32), y.astype(np.uint32)
+    sx, sy = np.cumsum(nx) - nx, np.cumsum(ny) - ny
+    for i, j, shift in _offsets(x, nx, ids_x, y, ny, ids_y) if len(x) and len(y) else ():
+        lo, hi = np.maximum(0, shift), np.minimum(nx[i], ny[j] + shift)
+        n = np.maximum(hi - lo, 0)
+        ok = n >= max(1, least_overlap)
+        i, j, shift, lo, n = i[ok], j[ok], shift[ok], lo[ok], n[ok]
+        part = (np.cumsum(n) - n) // chunk
+        for k in np.unique(part):
+            p = slice(*np.searchsorted(part, [k, k + 1]))
+            step = _spread(n[p])
+            bits = np.bitwise_count(x[np.repeat((sx[i] + lo)[p], n[p]) + step] ^ y[np.repeat((sy[j] + lo - shift)[p], n[p]) + step])
+            error = np.add.reduceat(bits, np.cumsum(n[p]) - n[p], dtype=np.int64) / (32 * n[p])
+            good = error <= most_error
+            yield i[p][good], j[p][good], shift[p][good], n[p][good], error[good]
+
+
+def _meet(most_error: float, least_overlap: int):
+    """A group holds the recordings of two blocks, or of one."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by("id")
+        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+        sides = []
+        for block in (lo, hi):
+            rows = group.filter(pc.equal(group.column("block"), block))
+            sides.append((rows.column("id").to_numpy(), pc.list_flatten(rows.column("print")).to_numpy(), pc.list_value_length(rows.column("print")).to_numpy().astype(np.int64)))
+        (ids, x, nx), (other, y, ny) = sides
+        cols = [[], [], [], [], []]
+        for i, j, shift, n, error in links_between(x, nx, ids, y, ny, other, most_error, least_overlap):
+            if lo == hi:  # each pair once
+                keep = i < j
+                i, j, shift, n, error = i[keep], j[keep], shift[keep], n[keep], error[keep]
+            swap = ids[i] > other[j]  # the smaller id is the one aligned to
+            for c, v in zip(cols, (np.maximum(ids[i], other[j]), np.minimum(ids[i], other[j]), np.where(swap, -shift, shift), n, error), strict=True):
+                c.append(v)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
+        return pa.table([pa.array(np.concatenate([*c, np.zeros(0, np.int64)]).astype(t.to_pandas_dtype()), t) for c, t in zip(cols, kinds, strict=True)], ["a", "c", "offset", "overlap", "bit_error"])
 
     return run
 
 
-def aligned(prints: DataFrame, run: int = 3, most_error: float = 0.15, least_overlap: int = 24) -> DataFrame:
+def links(reps: DataFrame, most_error: float = 0.15, least_overlap: int = 24, block_ints: int = 500_000) -> DataFrame:
+    """(a, c, offset, overlap, bit_error): all links of recordings (id, print), each once."""
+    blocks = -(-(reps.agg(F.sum(F.size("print"))).first()[0] or 1) // block_ints)
+    dealt = reps.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("id", "print", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
+    return dealt.groupBy("lo", "hi").applyInArrow(_meet(most_error, least_overlap), "a long, c long, offset int, overlap int, bit_error double")
+
+
+def aligned(prints: DataFrame, most_error: float = 0.15, least_overlap: int = 24) -> DataFrame:
     """(id, n_prints, class_id, component_id, n_links): a row for each recording.
 
     class_id is the smallest id with the same fingerprint, component_id the smallest reachable over
-    links; n_links counts the confirmed links of the recording's class with other classes.
+    links; n_links counts the links of the recording's class with other classes.
     """
     named = prints.withColumn("h", F.xxhash64("print")).withColumn("h2", F.hash("print"))
     classes = named.where("size(print) > 0").groupBy("h", "h2").agg(F.min("id").alias("rep"))
     full = C.written(named.join(classes, ["h", "h2"], "left").select("id", "print", F.coalesce("rep", "id").alias("rep")))
-    reps = full.where("id = rep and size(print) > 0").select("id", "print").dropDuplicates(["id"])
-    whole = F.expr(f"transform(sequence(1, size(print) - {run - 1}), i -> slice(print, i, {run}))")
-    keys = reps.where(f"size(print) >= {run}").select("id", F.explode(F.array_distinct(F.transform(F.filter(whole, lambda r: F.exists(r, lambda v: v != 0)), lambda r: F.xxhash64(r)))).alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    holders = C.written(keys.join(shared, "key").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id"))))
-    most = holders.agg(F.max("rank")).first()[0] or 0
-    spark = prints.sparkSession
-    labels = spark.createDataFrame([], "node long, label long")
-    links = tested = None
-    at = 1
-    while at < most:
-        with_label = holders.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        open_ = with_label.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
-        mine = with_label.join(open_, "key", "left_semi")
-        x = mine.where(f"rank >= {at} and rank < {2 * at}").selectExpr("key", "id as c", "label as lc", "rank as rc")
-        new = mine.selectExpr("key", "id as a", "label as la", "rank as ra").join(x, "key").where("ra > rc and la <> lc").select("a", "c").distinct()
-        new = C.written(new if tested is None else new.join(tested, ["a", "c"], "left_anti"))
-        if not new.limit(1).count():
-            if not open_.limit(1).count():
-                break
-        else:
-            p = reps.select(F.col("id").alias("a"), F.col("print").alias("pa"))
-            q = reps.select(F.col("id").alias("c"), F.col("print").alias("pc"))
-            found = C.written(new.join(p, "a").join(q, "c").mapInArrow(_compare(most_error, least_overlap), "a long, c long, offset int, overlap int, bit_error double"))
-            links = found if links is None else links.union(found)
-            tested = new if tested is None else tested.union(new)
-            labels = components(links.selectExpr("a", "c as b"))
-        at *= 2
-    if links is None:
-        degree = spark.createDataFrame([], "rep long, n_links long")
-    else:
-        degree = links.selectExpr("a as rep").union(links.selectExpr("c")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    reps = C.written(full.where("id = rep and size(print) > 0").select("id", "print").dropDuplicates(["id"]))
+    found = C.written(links(reps, most_error, least_overlap))
+    labels = components(found.selectExpr("a", "c as b"))
+    degree = found.selectExpr("a as rep").union(found.selectExpr("c")).groupBy("rep").agg(F.count("*").alias("n_links"))
     out = full.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     return out.select(C.unkey("id").alias("id"), F.size("print").cast("long").alias("n_prints"), C.unkey("rep").alias("class_id"), F.when(F.coalesce("label", "rep") != C.NULL_ID, F.coalesce("label", "rep")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 

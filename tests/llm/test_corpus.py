@@ -255,6 +255,35 @@ def test_fingerprints(spark):
     assert aligned(fingerprints(spark.createDataFrame([], "id long, audio binary"))).count() == 0
 
 
+def test_all_links_are_found(spark):
+    """Against all pairs: errors up to the law's 15 % in every run of frames, and links inside components."""
+    from quire.llm.chroma import align, aligned, links
+
+    rng = np.random.default_rng(3)
+    prints = []
+    for _ in range(6):
+        base = rng.integers(1, 2**32, 90, dtype=np.uint32)
+        for k in range(6):
+            flips = (rng.random((90, 32)) < 0.15) @ (1 << np.arange(32, dtype=np.uint64))
+            wrong = base ^ np.where(np.arange(90) % 3 == k % 3, flips.astype(np.uint32), 0 if k < 3 else np.where(np.arange(90) % 2, flips, 0).astype(np.uint32))
+            wrong[:2] = 0
+            prints.append(wrong[int(rng.integers(0, 70)) if k == 5 else 0 :])
+    brute = {}
+    for i, x in enumerate(prints):
+        for j, y in enumerate(prints[:i]):
+            off, over, err = align(y, x)
+            if over >= 24 and err <= 0.15:
+                brute[j, i] = (off, over, round(err, 9))
+    df = spark.createDataFrame([(i, [int(v) for v in x]) for i, x in enumerate(prints)], "id long, print array<long>")
+    for size in (500_000, 700):
+        got = {}
+        for r in links(df, block_ints=size).collect():
+            got[r.c, r.a] = (r.offset, r.overlap, round(r.bit_error, 9))
+        assert len(brute) > 60 and got == brute
+    degree = {r.id: r.n_links for r in aligned(df).collect()}
+    assert degree == {i: sum(i in p for p in brute) for i in range(len(prints))}
+
+
 # ---------------------------------------------------------------- pipeline
 def test_pipeline_stages(spark, tmp_path):
     """Each stage against brute force on what the one before it kept."""
