@@ -72,7 +72,8 @@ RULES: Sequence[tuple[str, tuple[str, ...]]] = (
     ("proprietary", ("copyright", "reserved")),
     ("proprietary", ("reserved",)),
 )
-TRIGGER = re.compile(r"licen[sc]|copyright|spdx|redistribut|permission is|rights reserved|as is|gnu general", re.I)
+#: Every sentence pattern, and _ABOUT, holds one of these, whatever stands between its words.
+TRIGGER = re.compile(r"licen[sc]|copyright|spdx|redistribut|hereby|neither|gpl|gnu|creative|(?<![a-z0-9.+])cc(?![a-z0-9.+])|(?:all[^a-z0-9.+]+rights|as[^a-z0-9.+]+is|hope[^a-z0-9.+]+that)", re.I)
 _CUT = re.compile(r"\n|(?<=[.!?])\s+")
 _SPLIT_WORDS = re.compile(r"[^a-z0-9.+]+")
 _ABOUT = re.compile(r"\blicen[sc]ed? (?:under|by|to)\b|\ball rights\b")

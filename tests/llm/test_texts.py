@@ -208,6 +208,40 @@ def test_licences(spark, odd, none):
     assert scan(none).count() == 0
 
 
+def test_trigger_lets_every_pattern_pass():
+    from quire.llm import license as L
+    from quire.llm.license import SENTENCES, TRIGGER, scan_text, sentences
+
+    alone = {
+        "spdx": ["SPDX-License-Identifier: MIT"],
+        "cc": ["Released under CC BY-SA 4.0.", "Available under a Creative Commons Attribution 4.0 grant", "Available under (CC_BY) 4.0"],
+        "gpl_named": ["Distributed under the GPL v3 or later", "released under the AGPL", "Governed by the GNU\tGeneral Public License"],
+        "mit_named": ["Released under the MIT License"],
+        "apache_named": ["Distributed under the Apache Software License 2.0"],
+        "mpl_named": ["Subject to the Mozilla Public License 2.0"],
+        "bsd_named": ["Governed by a 3-clause BSD license"],
+        "mit_grant": ["Permission  is hereby granted, free of charge, to any person obtaining a copy"],
+        "mit_notice": ["The above copyright notice and this permission notice shall be included in all copies"],
+        "as_is": ["The software is provided AS-IS", "This software is provided by X 'as  is'"],
+        "bsd_grant": ["Redistribution and use in source and binary forms, with or without modification, are permitted"],
+        "bsd_source": ["Redistributions of source code must retain the above copyright notice"],
+        "bsd_binary": ["Redistributions in binary form must reproduce the above copyright notice"],
+        "bsd_endorse": ["Neither the name of X"],
+        "apache_comply": ["You may not use this file except in compliance with the License"],
+        "apache_copy": ["You may obtain a copy of the License at"],
+        "gpl_modify": ["you can redistribute it and/or modify it under the terms of the GNU General Public License"],
+        "gpl_warranty": ["This program is distributed in the hope that it will be useful"],
+        "reserved": ["All  rights reserved"],
+        "copyright": ["Copyright (c) 2020"],
+    }
+    assert set(alone) == {name for name, _ in SENTENCES}
+    for name, texts in alone.items():
+        for t in texts:
+            assert TRIGGER.search(t) and dict(L._PATTERNS)[name].search(sentences(t)[0][0]), t
+    names = [[f["name"] for f in scan_text(t)] for t in (*alone["cc"][:2], *alone["gpl_named"][:2])]
+    assert names == [["CC-BY-SA-4.0"], ["CC-ATTRIBUTION-4.0"], ["GPL-3-or-later"], ["AGPL"]]
+
+
 def test_words_agree(spark):
     import numpy as np
     import pyarrow as pa
