@@ -1,13 +1,17 @@
 """Licence recognition by sentence rules.
 
-A text is cut into sentences at line ends and at full stops, exclamation and
-question marks that white space follows. Normalised sentences (lower case, runs
-of anything but letters, digits, dots and plus signs to one space) are looked up
-among sentence patterns, each with an identifier; the identifiers of a text, in
+A text is cut into pieces at line ends and at full stops, exclamation and
+question marks that white space follows. Pieces are normalised (lower case, runs
+of anything but letters, digits, dots and plus signs to one space), and those of
+wrapped lines join to sentences again: a sentence ends at a stop, at a line without letters or
+digits and behind an SPDX line; a list's number belongs to what follows it. Sentences
+are searched for sentence patterns, each with an identifier; of overlapping
+matches the longest counts. The identifiers of a text, in
 order, are matched against licence rules, longest rule first, from left to right.
 A rule is an ordered list of identifiers that must follow each other, with at
-most ``gap`` unrecognised sentences between two of them. What no rule takes is
-reported as UNKNOWN if its sentence is about licensing, and dropped otherwise.
+most ``gap`` unrecognised sentences between two of them. A recognised sentence that
+no rule takes is reported as UNKNOWN unless it is a lone copyright notice or the start
+'neither the name of', and so is one about licensing; all else is dropped. Places are those of whole pieces.
 
 Only texts that hold one of a few trigger words are cut at all.
 
@@ -20,6 +24,7 @@ holds only its own columns.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -28,27 +33,27 @@ from pyspark.sql import functions as F
 
 from quire.llm import common as C
 
-#: Sentence patterns over normalised sentences: identifier, regular expression (matched at the start).
+#: Sentence patterns over normalised sentences: identifier, regular expression (searched from the start of a word).
 SENTENCES: Sequence[tuple[str, str]] = (
-    ("spdx", r"(?:.* )?spdx license identifier (?P<id>[a-z0-9.+ ]+)"),
-    ("cc", r".*\b(?:licensed under|released under|under the terms of|available under)(?: the| a)? (?:cc|creative commons) (?P<id>by(?: (?:nc|nd|sa))*|attribution(?: noncommercial| noderivatives| sharealike)*|zero|0)(?: (?P<version>\d\.\d))?"),
-    ("gpl_named", r".*\b(?:licensed under|released under|under the terms of|distributed under|governed by)(?: the)? (?P<id>gnu (?:lesser |affero )?general public license|agpl|lgpl|gpl)(?: as published by the free software foundation)?(?: version| v)? ?(?P<version>\d(?:\.\d)?)?(?P<later> or \(?at your option\)? any later version| or later)?"),
-    ("mit_named", r".*\b(?:licensed under|released under|under the terms of|distributed under|governed by)(?: the)? (?:mit|expat) license"),
-    ("apache_named", r".*\b(?:licensed under|released under|under the terms of|distributed under|governed by)(?: the)? apache(?: software)? license(?: version| v)? ?(?P<version>\d(?:\.\d)?)?"),
-    ("mpl_named", r".*\b(?:licensed under|released under|subject to|under)(?: the terms of)?(?: the)? mozilla public license(?: version| v)? ?(?P<version>\d(?:\.\d)?)?"),
-    ("bsd_named", r".*\b(?:licensed under|released under|under the terms of|governed by)(?: a| the)? (?P<version>[23])? ?(?:clause )?(?:new |modified |simplified )?bsd(?: style)? license"),
+    ("spdx", r"\bspdx license identifier (?P<id>[a-z0-9.+ ]+)"),
+    ("cc", r"\b(?:licensed under|released under|under the terms of|available under)(?: the| a)? (?:cc|creative commons) (?P<id>by(?: (?:nc|nd|sa))*|attribution(?: noncommercial| noderivatives| sharealike)*|zero|0)(?: (?P<version>\d\.\d))?"),
+    ("gpl_named", r"\b(?:licensed under|released under|under the terms of|distributed under|governed by)(?: the)? (?P<id>gnu (?:lesser |affero )?general public license|agpl|lgpl|gpl)(?: as published by the free software foundation)?(?: either)?(?: version| v)? ?(?P<version>\d(?:\.\d)?)?(?: of the license)?(?P<later> or at your option any later version| or any later version| or later)?"),
+    ("mit_named", r"\b(?:licensed under|released under|under the terms of|distributed under|governed by)(?: the)? (?:mit|expat) license"),
+    ("apache_named", r"\b(?:licensed under|released under|under the terms of|distributed under|governed by)(?: the)? apache(?: software)? license(?: version| v)? ?(?P<version>\d(?:\.\d)?)?"),
+    ("mpl_named", r"\b(?:licensed under|released under|subject to|under)(?: the terms of)?(?: the)? mozilla public license(?: version| v)? ?(?P<version>\d(?:\.\d)?)?"),
+    ("bsd_named", r"\b(?:licensed under|released under|under the terms of|governed by)(?: a| the)? (?P<version>[23])? ?(?:clause )?(?:new |modified |simplified )?bsd(?: style)? license"),
     ("mit_grant", r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("mit_notice", r"the above copyright notice and this permission notice shall be included in all copies"),
-    ("as_is", r"(?:the|this) software is provided (?:by .*)?as is"),
+    ("as_is", r"(?:the|this) software is provided (?:by .*?)?as is"),
     ("bsd_grant", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd_source", r"(?:\d\.? )?redistributions of source code must retain the above copyright notice"),
     ("bsd_binary", r"(?:\d\.? )?redistributions in binary form must reproduce the above copyright notice"),
     ("bsd_endorse", r"(?:\d\.? )?neither the name of"),
     ("apache_comply", r"you may not use this file except in compliance with the license"),
     ("apache_copy", r"you may obtain a copy of the license at"),
-    ("gpl_modify", r"(?:this program is free software )?you can redistribute it and or modify it under the terms of the gnu (?P<id>lesser |affero )?general public license"),
-    ("gpl_warranty", r"this program is distributed in the hope that it will be useful"),
-    ("reserved", r"(?:.* )?all rights reserved"),
+    ("gpl_modify", r"(?:this (?:program|library|software|file) is free software )?you can redistribute it and or modify it under the terms of the gnu (?P<id>lesser |affero )?general public license(?: as published by the free software foundation)?(?: either)?(?: version (?P<version>\d(?:\.\d)?))?(?: of the license)?(?P<later> or at your option any later version)?"),
+    ("gpl_warranty", r"this (?:program|library|software|file) is distributed in the hope that it will be useful"),
+    ("reserved", r"\ball rights reserved"),
     ("copyright", r"copyright(?: c)? \d{4}"),
 )
 #: Licence rules: name, identifiers in their order. Names may hold what a sentence's pattern found.
@@ -66,8 +71,7 @@ RULES: Sequence[tuple[str, tuple[str, ...]]] = (
     ("Apache-{version}", ("apache_named", "apache_comply")),
     ("Apache-{version}", ("apache_named",)),
     ("MPL-{version}", ("mpl_named",)),
-    ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse")),
-    ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary")),
+    *((name, (*before, *core, *after)) for name, core in (("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse")), ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary"))) for before in ((), ("reserved",), ("copyright", "reserved")) for after in ((), ("as_is",))),
     ("BSD-{version}-Clause", ("bsd_named",)),
     ("proprietary", ("copyright", "reserved")),
     ("proprietary", ("reserved",)),
@@ -77,29 +81,51 @@ TRIGGER = re.compile(r"licen[sc]|copyright|spdx|redistribut|hereby|neither|gpl|g
 _CUT = re.compile(r"\n|(?<=[.!?])\s+")
 _SPLIT_WORDS = re.compile(r"[^a-z0-9.+]+")
 _ABOUT = re.compile(r"\blicen[sc]ed? (?:under|by|to)\b|\ball rights\b")
-_PATTERNS = [(name, re.compile(p)) for name, p in SENTENCES]
+_PATTERNS = [*((name, re.compile(p)) for name, p in SENTENCES), ("about", _ABOUT)]
+_STOPS = {".", "!", "?"}
+_NUMBER = re.compile(r"[0-9]{1,2}|[a-z]")
+_LINE = "spdx license identifier"
+_WEAK = {"copyright", "bsd_endorse"}  # alone they say nothing of a licence
 _RULES = sorted(RULES, key=lambda r: -len(r[1]))
 
 
-def sentences(text: str) -> list[tuple[str, int, int]]:
-    """Normalised non-empty sentences with their places in the text."""
+def pieces(text: str) -> list[tuple[str, int, int, bool]]:
+    """Normalised pieces, their places in the text, and whether a sentence ends behind them.
+
+    A piece without letters and digits is empty and ends a sentence.
+    """
     out, at = [], 0
     for cut in [*_CUT.finditer(text), None]:
         end = cut.start() if cut else len(text)
         plain = _SPLIT_WORDS.sub(" ", text[at:end].lower()).strip(" .")
-        if plain:
-            out.append((plain, at, end))
+        stop = not plain or (text[at:end].rstrip()[-1:] in _STOPS and not _NUMBER.fullmatch(plain)) or _LINE in plain
+        out.append((plain, at, end, stop))
         at = cut.end() if cut else end
     return out
 
 
-def recognise(plain: str) -> tuple[str, dict[str, str]] | None:
-    """Identifier of a normalised sentence, and what its pattern found; the longest match wins."""
-    best = None
-    for name, p in _PATTERNS:
-        if (m := p.match(plain)) and (best is None or m.end() - m.start() > best[2]):
-            best = (name, {k: v or "" for k, v in m.groupdict().items()}, m.end() - m.start())
-    return best[:2] if best else None
+def sentences(text: str) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """Normalised sentences, each with its pieces: where they start in it, and their places in the text."""
+    out, words, parts, size = [], [], [], 0
+    for plain, at, end, stop in pieces(text):
+        if plain:
+            words.append(plain)
+            parts.append((size, at, end))
+            size += len(plain) + 1
+        if stop and parts:
+            out.append((" ".join(words), parts))
+            words, parts, size = [], [], 0
+    return out + [(" ".join(words), parts)] * bool(parts)
+
+
+def recognise(plain: str) -> list[tuple[str, dict[str, str], int, int]]:
+    """Identifiers in a normalised sentence, what their patterns found, and where; of overlapping matches the longest stays."""
+    found = [(m.end() - m.start(), k, m, name) for k, (name, p) in enumerate(_PATTERNS) for m in p.finditer(plain)]
+    taken = []
+    for _, _, m, name in sorted(found, key=lambda f: (f[3] == "about", -f[0], f[1])):
+        if all(m.end() <= lo or m.start() >= hi for _, _, lo, hi in taken):
+            taken.append((name, {k: v or "" for k, v in m.groupdict().items()}, m.start(), m.end()))
+    return sorted(taken, key=lambda t: t[2])
 
 
 #: Names of families, in the form the rules print.
@@ -121,33 +147,42 @@ def scan_text(text: str | None, gap: int = 1) -> list[dict]:
     """Licences of a text in order: name, identifiers, and the characters they cover."""
     if not text or not TRIGGER.search(text):
         return []
-    seen = [(*s, recognise(s[0])) for s in sentences(text)]
+    seen = []  # identifier, what was found, from, to
+    for plain, parts in sentences(text):
+        starts = [p[0] for p in parts]
+        hits = recognise(plain)
+        for name, found, lo, hi in hits:
+            seen.append((name, found, parts[bisect_right(starts, lo) - 1][1], parts[bisect_right(starts, hi - 1) - 1][2]))
+        if not hits:
+            seen.append((None, {}, parts[0][1], parts[-1][2]))
     out, at = [], 0
     while at < len(seen):
-        if seen[at][3] is None:
-            if _ABOUT.search(seen[at][0]):
-                out.append({"name": "UNKNOWN", "sentences": [], "from": seen[at][1], "to": seen[at][2]})
+        if seen[at][0] in (None, "about"):
+            if seen[at][0]:
+                out.append({"name": "UNKNOWN", "sentences": [], "from": seen[at][2], "to": seen[at][3]})
             at += 1
             continue
         for rule, want in _RULES:
             k, missed, found = at, 0, {}
             took = []
             while k < len(seen) and len(took) < len(want) and missed <= gap:
-                hit = seen[k][3]
-                if hit and hit[0] == want[len(took)]:
+                name = seen[k][0]
+                if name == want[len(took)]:
                     took.append(k)
-                    found = {**hit[1], **{n: v for n, v in found.items() if v}}
+                    found = {**seen[k][1], **{n: v for n, v in found.items() if v}}
                     missed = 0
-                elif hit:
+                elif name not in (None, "about"):
                     break
                 else:
                     missed += 1
                 k += 1
             if len(took) == len(want):
-                out.append({"name": _name(rule, found), "sentences": list(want), "from": seen[at][1], "to": seen[took[-1]][2]})
+                out.append({"name": _name(rule, found), "sentences": list(want), "from": seen[at][2], "to": seen[took[-1]][3]})
                 at = took[-1] + 1
                 break
         else:
+            if seen[at][0] not in _WEAK:
+                out.append({"name": "UNKNOWN", "sentences": [seen[at][0]], "from": seen[at][2], "to": seen[at][3]})
             at += 1
     return out
 

@@ -242,6 +242,70 @@ def test_trigger_lets_every_pattern_pass():
     assert names == [["CC-BY-SA-4.0"], ["CC-ATTRIBUTION-4.0"], ["GPL-3-or-later"], ["AGPL"]]
 
 
+def test_wrapped_licences():
+    from quire.llm.license import scan_text
+
+    names = lambda t: [f["name"] for f in scan_text(t)]
+    mit = """MIT License
+
+Copyright (c) 2020 X Y
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED.
+"""
+    bsd = """Copyright (c) 2020, X
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse products.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS
+IS" AND ANY EXPRESS WARRANTIES ARE DISCLAIMED.
+"""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY.
+"""
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+    for text, name in ((mit, "MIT"), (bsd, "BSD-3-Clause"), (gpl, "GPL-3-or-later"), (apache, "Apache-2.0")):
+        comment = "".join(f" * {line}\n" for line in text.split("\n"))
+        for t in (text, comment, text.replace("\n", "\r\n")):
+            assert names(f"before\n\n{t}\nafter") == [name]
+    assert len(scan_text(apache)[0]["sentences"]) == 3
+    assert names("SPDX-License-Identifier: MIT\nint x") == ["SPDX:mit"]
+    lone = "Permission is hereby granted, free of charge, to any person\nobtaining a copy."
+    assert scan_text(f"x.\n{lone}\n\ny") == [{"name": "UNKNOWN", "sentences": ["mit_grant"], "from": 3, "to": 3 + len(lone)}]
+    assert names('The software is provided "as is".') == ["UNKNOWN"] and names("Copyright 2020 X") == []
+
+
 def test_words_agree(spark):
     import numpy as np
     import pyarrow as pa
