@@ -107,9 +107,9 @@ def join_lines_dehyphen(spark, sf_dir):
 _INJECT = "'key sk-abcdefgh' || doc_id || 'ijklmnopqrstu https://user:pw@host/x?token=abc' || doc_id || '&b=1 Bearer zzzzzzzzzzzzzzzzzzzz' || doc_id || ' ' || left(text, 40)"
 
 
-def _injected(docs: DataFrame) -> DataFrame:
+def _injected(docs: DataFrame, whole: bool = False) -> DataFrame:
     d = F.col("doc_id").cast("string")
-    return docs.select("doc_id", F.concat(F.lit("key sk-abcdefgh"), d, F.lit("ijklmnopqrstu https://user:pw@host/x?token=abc"), d, F.lit("&b=1 Bearer zzzzzzzzzzzzzzzzzzzz"), d, F.lit(" "), F.substring("text", 1, 40)).alias("text"))
+    return docs.select("doc_id", F.concat(F.lit("key sk-abcdefgh"), d, F.lit("ijklmnopqrstu https://user:pw@host/x?token=abc"), d, F.lit("&b=1 Bearer zzzzzzzzzzzzzzzzzzzz"), d, F.lit(" "), F.col("text") if whole else F.substring("text", 1, 40)).alias("text"))
 
 
 @query(f"""WITH t AS (SELECT doc_id, {_INJECT} AS text FROM documents)
@@ -127,6 +127,18 @@ def secret_scan(spark, sf_dir):
     return J.scan_rules(_injected(table(spark, sf_dir, "documents"))).select("doc_id", "rule")
 
 
+@query()
+def redact_whole_text(spark, sf_dir):
+    """STR-14, STR-15 on whole documents behind injected secrets; the twin of ``redact_text`` reads 40 characters of each."""
+    return _injected(table(spark, sf_dir, "documents"), whole=True).select("doc_id", X.redacted(F.col("text")).alias("text"))
+
+
+@query()
+def secret_scan_whole_text(spark, sf_dir):
+    """JOIN-16 on whole documents; the twin of ``secret_scan`` reads 40 characters of each."""
+    return J.scan_rules(_injected(table(spark, sf_dir, "documents"), whole=True)).select("doc_id", "rule")
+
+
 _ANSWER = "'1. ' || left(role, 3) || chr(10) || '2) x' || turn || chr(10) || 'lost line' || chr(10) || '2、' || length(text) || chr(10) || ' 4 . end'"
 
 

@@ -44,5 +44,34 @@ def test_query(spark, sf, sql, name):
     assert sorted(df.columns) == sorted(cols) and canon(rows, df.columns) == canon(r.fetchall(), cols)
 
 
+LATE = "tail sk-zzzzzzzzzzzzzzzzzzzz http://u:p@h/y?key=v Bearer qqqqqqqqqqqqqqqqqqqq /home/someone/x end"
+
+
+@pytest.fixture(scope="module")
+def long_docs(spark, tmp_path_factory):
+    """Documents with something to rewrite or find behind their first 5,000 characters alone."""
+    d = tmp_path_factory.mktemp("long")
+    rows = [(i, "word " * 1000 + LATE + " x² $\\alpha$") for i in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    return str(d)
+
+
+def test_secrets_of_whole_texts(spark, long_docs):
+    import re
+
+    from quire.operators.joins import SECRET_RULES
+
+    rules = [(r"(?i)bearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]"), (r"sk-[A-Za-z0-9_-]{8,}", "[REDACTED]"), (r"(?i)(https?://)[^/@\s]+@", r"\1[REDACTED]@"), (r"(?i)([?&](?:api[_-]?key|key|token|access_token|secret)=)[^&\s]+", r"\1[REDACTED]")]
+    got = {r.doc_id: r.text for r in QUERIES["redact_whole_text"](spark, long_docs).collect()}
+    for i, text in got.items():
+        want = f"key sk-abcdefgh{i}ijklmnopqrstu https://user:pw@host/x?token=abc{i}&b=1 Bearer zzzzzzzzzzzzzzzzzzzz{i} " + "word " * 1000 + LATE + " x² $\\alpha$"
+        found = {k for k, p in SECRET_RULES.items() if re.search(p, want)}
+        for p, by in rules:
+            want = re.sub(p, by, want)
+        assert text == want and "home_path" in found
+        assert {r.rule for r in QUERIES["secret_scan_whole_text"](spark, long_docs).where(f"doc_id = {i}").collect()} == found
+    assert len(got) == 3
+
+
 def test_entry(spark):
     assert E.entry(spark).count() == 200 and set(ORACLES) <= set(E.oracle_sql()) and set(E.oracle_sql()) <= set(E.queries())
