@@ -171,14 +171,14 @@ def synthetic_translation(spark, sf_dir):
 @query()
 def nfkc_norm(spark, sf_dir):
     """STR-6, STR-7, STR-9 on texts with raised, lowered and wide characters."""
-    t = F.concat(F.lit("ｘ² tₖ 10⁻¹ 𝑥𝐴 〈3》 "), F.substring("text", 1, 200))
+    t = F.concat(F.lit("ｘ² tₖ 10⁻¹ 𝑥𝐴 〈3》 "), F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", R.normal_column(t).alias("text"))
 
 
 @query()
 def latex_to_unicode(spark, sf_dir):
     """STR-8."""
-    t = F.concat(F.lit("$\\mathcal{L} = \\frac{a}{b} \\times \\hat{M}$ "), F.substring("text", 1, 200))
+    t = F.concat(F.lit("$\\mathcal{L} = \\frac{a}{b} \\times \\hat{M}$ "), F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", R.latex_column(t).alias("text"))
 
 

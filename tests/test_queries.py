@@ -73,5 +73,11 @@ def test_secrets_of_whole_texts(spark, long_docs):
     assert len(got) == 3
 
 
+def test_rewrites_of_whole_texts(spark, long_docs):
+    for name, tail in (("nfkc_norm", "x^{2}"), ("latex_to_unicode", "α")):
+        for r in QUERIES[name](spark, long_docs).collect():
+            assert len(r.text) > 5000 and tail in r.text[5000:], name
+
+
 def test_entry(spark):
     assert E.entry(spark).count() == 200 and set(ORACLES) <= set(E.oracle_sql()) and set(E.oracle_sql()) <= set(E.queries())
