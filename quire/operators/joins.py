@@ -138,6 +138,22 @@ def first_existing(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     return wanted.join(existing.select("dir", "name").distinct(), ["dir", "name"]).groupBy("name").agg(F.min_by(F.concat_ws("/", "dir", "name"), "ord").alias("path"))
 
 
+def sparse_figures(rects: DataFrame, texts: DataFrame, page_area: float, least_area: float = 9000.0, share: float = 0.35, most: int = 8) -> DataFrame:
+    """JOIN-17: stroked rectangles of a page that enclose 1 to ``most`` texts, all of them short labels.
+
+    ``rects`` has item, bounds and ``stroked``; ``texts`` bounds and text, trimmed; empty ones don't count. A text is
+    enclosed if it is covered by 0.8 or more, and a label if it has at most 48 characters and no sentence end
+    and is narrower than 0.72 of the rectangle. Returns doc_id, pno, item and r_x0 ... r_y1.
+    """
+    area = G.area(G.rect())
+    r = rects.where(F.col("stroked") & (area >= least_area) & (area < share * page_area)).select(*PAGE, "item", *[F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")])
+    t = texts.where(present(F.col("text")).isNotNull()).select(*PAGE, "text", "x0", "y0", "x1", "y1")
+    met = r.join(t, PAGE).where(covers(0.8))
+    label = (F.length("text") <= 48) & ~F.col("text").rlike(X.SENTENCE_END) & (F.col("x1") - F.col("x0") < 0.72 * (F.col("r_x1") - F.col("r_x0")))
+    by = met.groupBy(*PAGE, "item", "r_x0", "r_y0", "r_x1", "r_y1").agg(F.count("*").alias("n"), F.bool_and(label).alias("labels"))
+    return by.where((F.col("n") <= most) & F.col("labels")).drop("n", "labels")
+
+
 #: Names and patterns of text that shouldn't be published.
 SECRET_RULES = {
     "api_key": "sk-[A-Za-z0-9_-]{16,}",

@@ -253,6 +253,14 @@ def rect_components(spark, sf_dir):
     return D.label_components(r, J.touching_pairs(r)).select("doc_id", "item", "component")
 
 
+@query()
+def sparse_figures(spark, sf_dir):
+    """JOIN-17: an order's rectangles around labels of every line, a third of which end like a sentence."""
+    r = _rects(spark, sf_dir)
+    t = r.select("doc_id", "pno", F.when(F.col("item") % 3 == 0, "An end.").otherwise("label").alias("text"), (F.col("x0") + 5).alias("x0"), (F.col("y0") + 5).alias("y0"), (F.col("x0") + 45).alias("x1"), (F.col("y0") + 15).alias("y1"))
+    return J.sparse_figures(r.withColumn("stroked", F.lit(True)), t, PAGE_WIDTH * PAGE_HEIGHT)
+
+
 _OVER = "greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0)"
 
 

@@ -151,6 +151,20 @@ def test_components_and_figures(spark):
     assert D.label_components(b.limit(0), pairs.limit(0)).count() == 0
 
 
+def test_sparse_figures(spark):
+    """JOIN-17 at its bounds: a page for each case, one rectangle of 100 by 100 on each."""
+    box = lambda n, text="a", wide=50.0, x=10.0: [(x, 10.0 + k, x + wide, 20.0 + k, text) for k in range(n)]
+    cases = [(box(1), 1), (box(8), 1), (box(9), 0), (box(0), 0), (box(1, "x" * 48), 1), (box(1, "x" * 49), 0), (box(2) + box(1, "End."), 0), (box(1, "a", 72.0), 0), (box(1, "a", 71.0), 1), (box(1, "a", 50.0, 60.0), 1), (box(1, "a", 50.0, 61.0), 0), (box(1, ""), 0)]
+    texts = [(1, p, *t) for p, (ts, _) in enumerate(cases) for t in ts] + [(1, 100 + k, *box(1)[0]) for k in range(3)]
+    t = spark.createDataFrame(texts, "doc_id long, pno int, x0 double, y0 double, x1 double, y1 double, text string")
+    rects = [(1, p, 0, 0.0, 0.0, 100.0, 100.0, True) for p in range(len(cases))] + [(1, 100, 0, 0.0, 0.0, 89.0, 100.0, True), (1, 101, 0, 0.0, 0.0, 400.0, 500.0, True), (1, 102, 0, 0.0, 0.0, 100.0, 100.0, False)]
+    r = spark.createDataFrame(rects, BOX + ", stroked boolean")
+    got = J.sparse_figures(r, t, 595.0 * 842.0)
+    assert {x.pno for x in got.collect()} == {p for p, (_, ok) in enumerate(cases) if ok}
+    figures = spark.createDataFrame([(9, 0, 1.0, 1.0, 2.0, 2.0)], "doc_id long, pno int, r_x0 double, r_y0 double, r_x1 double, r_y1 double")
+    assert D.vector_regions(figures, got).count() == 1 + got.count() and J.sparse_figures(r.limit(0), t, 1.0).count() == 0
+
+
 def test_overlaps(spark):
     cols = "doc_id long, pno int, ln int, line string, base double, x0 double, x1 double, size double, y0 double, y1 double"
     mk = lambda k, base, text: (1, 0, k, text, base, 0.0, 100.0, 10.0, base - 8, base + 2)
