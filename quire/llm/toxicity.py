@@ -1,151 +1,173 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are lower-cased runs of letters and their four-letter heads. The terms
-that take part are those that labelled examples tie to toxicity (log-likelihood
-ratio, at most ``max_terms``); their document frequencies come from all
-documents. Labelled examples form an inverted index whose postings lie in blocks
-of ``block`` examples; for every block the largest weight of each term is kept.
-A query adds the block maxima of its terms to an upper bound per block, reads
-blocks by falling bound and stops when no bound beats its k-th best cosine, so
-that the k nearest are exact. Votes weigh by squared similarity beside ``prior``
-votes of the base rate among examples without any term:
-vote = (sum s^2 y + prior * base) / (sum s^2 + prior). A logistic curve fitted on
-the examples' own votes, each left out of its own, turns votes into scores.
-
-Bounds (all documented parameters): ``per_class`` labelled examples of each
-class, chosen by a hash of their id; ``max_terms`` terms. The index and the term
-table are therefore of fixed size (at most 2 * per_class rows of at most
-max_terms + 1 numbers) and are the only things sent to executors. Everything else
-reads all documents.
-
-Edge cases: null and empty texts hold no term and get the base rate; null labels
-are ignored; documents without a label are scored like others; with no labelled
-example of either class every score is the base rate of what there is (0 if
-nothing); null ids are never examples; repeated rows are scored each; of several
-labels for one id the largest counts; an empty table gives an empty table.
+Terms are the stems of all words of a text: lower-cased runs of letters cut to
+their first ``STEM`` letters. A stem's place in the vector is its CRC-32 modulo
+``DIMS`` (the hashing trick), so that the table of document frequencies, which is
+counted over all documents, has a fixed size whatever the corpus holds; no stem
+is left out, and labels have no part in the choice of terms. Weights are
+tf * ln((1 + documents) / (1 + df)), vectors have length one over the whole text.
+
+Labelled examples form an inverted index. Examples lie in blocks of ``block``;
+each term's postings are grouped by block, with the largest weight of each group.
+A query adds the group maxima of its terms to an upper bound per block, reads the
+blocks of the highest bounds first and then those whose bound still beats its
+k-th best cosine, so that the k nearest are exact. Examples whose text equals the
+query's (64-bit hash) have no vote, whatever their id, so a labelled text isn't
+its own neighbour. Votes weigh by similarity and by how thinly the example's class was
+sampled, beside one vote of the base rate at the mean weight. A logistic curve fitted to the
+examples' own votes turns votes into scores.
+
+Bounds (documented parameters): at most ``per_class`` labelled examples of each
+class, chosen by a hash of their id, and of these the first whose stems add up to
+half of ``most_postings``. The index (16 bytes a posting and at most 20 a group)
+and the 2**20 document frequencies are all that is sent to executors. Everything
+else reads all documents.
+
+Edge cases: null texts, and texts without letters or without a neighbour, get the
+base rate; null labels are ignored, labels without a document
+count in the base rate alone; documents without a label are scored like
+others; with no labelled example of either class every score is the base rate of
+what there is (0.001 if nothing); null ids are never examples; repeated rows are
+scored each, and count each in the frequencies; of several labels for one id the
+largest counts, of several texts the one with the smallest hash; an empty table
+gives an empty table; extra columns don't matter.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import common as C
 
-_TERM = re.compile(r"[^\W\d_]+")
-HEAD = 4
+STEM, DIMS = 4, 2**20
+_STEMS = re.compile(rf"([^\W\d_]{{1,{STEM}}})[^\W\d_]*")
 
 
-def terms_of(text: str) -> Counter:
-    """Letter runs of a text and their heads, with counts."""
-    words = Counter(_TERM.findall(text.lower()))
-    for w, n in list(words.items()):
-        if len(w) > HEAD:
-            words[w[:HEAD] + "*"] += n
-    return words
+def place_of(stem: str) -> int:
+    return zlib.crc32(stem.encode()) % DIMS
 
 
-def _distinct_terms(batches):
-    for b in batches:
-        lists = [list(terms_of(t or "")) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(lists, pa.list_(pa.string()))], ["y", "terms"])
+def terms_of(text: str | None) -> Counter:
+    """Places of a text's stems, with counts."""
+    out: Counter = Counter()
+    for stem, n in Counter(_STEMS.findall((text or "").lower())).items():
+        out[place_of(stem)] += n
+    return out
 
 
-def choose_terms(examples: DataFrame, max_terms: int, least_docs: int = 4, least_ratio: float = 12.0) -> list[str]:
-    """Terms tied to label 1: by log-likelihood ratio, seen in ``least_docs`` toxic examples or more."""
-    seen = examples.select("y", "text").mapInArrow(C.tidy(_distinct_terms), "y int, terms array<string>")
-    by = seen.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
-    size = examples.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("y")).first()
-    n1, n0 = size["y"], size["n"] - size["y"]
-    if not n1 or not n0:
-        return []
+def _counts(batches):
+    places: dict[str, int] = {}
+    for whole in batches:
+        for b in C.sliced(whole, "text"):
+            terms, freq, size = [], [], []
+            for text in b.column("text").to_pylist():
+                mine: dict[int, int] = {}
+                for stem, n in Counter(_STEMS.findall((text or "").lower())).items():
+                    at = places.get(stem)
+                    if at is None:
+                        if len(places) >= DIMS:
+                            places.clear()
+                        at = places[stem] = place_of(stem)
+                    mine[at] = mine.get(at, 0) + n
+                ordered = sorted(mine)
+                terms += ordered
+                freq += [mine[t] for t in ordered]
+                size.append(len(ordered))
+            size = np.array(size, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("same"), C.ragged(np.array(terms, np.int64), size, pa.int32()), C.ragged(np.array(freq, np.int64), size, pa.int32())], ["doc", "same", "terms", "freq"])
 
-    def part(x: Column, share: float, of: Column) -> Column:
-        return F.when(x > 0, x * F.log(x / (of * share))).otherwise(0.0)
 
-    a, n = F.col("a"), F.col("n")
-    b = n - a
-    p1, p0 = n1 / (n1 + n0), n0 / (n1 + n0)
-    rest = F.lit(n1 + n0) - n
-    ratio = 2 * (part(a, p1, n) + part(b, p0, n) + part(F.lit(n1) - a, p1, rest) + part(F.lit(n0) - b, p0, rest))
-    top = by.where((a >= least_docs) & (a * n0 > 4 * b * n1)).withColumn("ratio", ratio).where(f"ratio >= {least_ratio}")
-    return [r["term"] for r in top.orderBy(F.desc("ratio"), "term").limit(max_terms).collect()]
-
-
-def _counts(terms: list[str]):
-    index = {t: i for i, t in enumerate(terms)}
-    heads = {t[:-1] for t in terms if t.endswith("*")}
-
-    def run(batches):
-        for whole in batches:
-            for b in C.sliced(whole, "text"):
-                ids, freq, size = [], [], []
-                for text in b.column("text").to_pylist():
-                    mine: Counter = Counter()
-                    for w, n in Counter(_TERM.findall((text or "").lower())).items():
-                        if (i := index.get(w)) is not None:
-                            mine[i] += n
-                        if len(w) > HEAD and w[:HEAD] in heads:
-                            mine[index[w[:HEAD] + "*"]] += n
-                    ids += sorted(mine)
-                    freq += [mine[i] for i in sorted(mine)]
-                    size.append(len(mine))
-                yield pa.RecordBatch.from_arrays(
-                    [*[b.column(c) for c in b.schema.names if c != "text"], C.ragged(np.array(ids, np.int64), np.array(size, np.int64), pa.int32()), C.ragged(np.array(freq, np.int64), np.array(size, np.int64), pa.int32())],
-                    [*[c for c in b.schema.names if c != "text"], "terms", "freq"],
-                )
-
-    return run
+def _spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers start[i] ... start[i] + n[i] - 1 of all i, one after another."""
+    total = np.cumsum(n)
+    return np.repeat(start - (total - n), n) + np.arange(total[-1] if len(n) else 0)
 
 
 class BlockMaxIndex:
-    """Examples in blocks; per block the postings of its terms and the largest weight of each."""
-
-    def __init__(self, vectors: np.ndarray, y: np.ndarray, weight: np.ndarray, names: np.ndarray, block: int = 64):
-        order = np.lexsort((names, -vectors.max(axis=1, initial=0), vectors.argmax(axis=1) if vectors.shape[1] else names))
-        self.y, self.weight, self.names, self.block = y[order], weight[order], names[order], block
-        self.vectors = v = vectors[order]
-        self.starts = np.arange(0, len(v), block)
-        self.top = np.maximum.reduceat(v, self.starts, axis=0) if len(v) else v
-        self.postings = [{int(t): (np.flatnonzero(v[s : s + block, t]), v[s : s + block, t][v[s : s + block, t] > 0]) for t in np.flatnonzero(self.top[i])} for i, s in enumerate(self.starts)]
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the k nearest with a positive cosine, and the cosines; ties go to the smaller row."""
-        bound = self.top[:, terms] @ weights
-        rows, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for i in np.argsort(-bound, kind="stable"):
-            if bound[i] <= 0 or (len(rows) == k and bound[i] < least - 1e-12):
-                break
-            got = np.zeros(self.block)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                if t in self.postings[i]:
-                    at, x = self.postings[i][t]
-                    got[at] += w * x
-            at = np.flatnonzero(got)
-            rows, scores = np.append(rows, at + self.starts[i]), np.append(scores, got[at])
-            if len(rows) > k:
-                best = np.lexsort((rows, -np.round(scores, 12)))[:k]
-                rows, scores = rows[best], scores[best]
-            if len(rows) == k:
-                least = scores.min()
-        order = np.lexsort((rows, -np.round(scores, 12)))
-        return rows[order], scores[order]
-
-
-def weigh(freq: np.ndarray, idf: np.ndarray, filler: float) -> np.ndarray:
-    """Unit vector of (1 + ln tf) * idf, with one more term of weight ``filler``.
-
-    The filler stands for all words that take no part: without it a text with one
-    marked word would be as close to a toxic one as a text with ten.
-    """
-    w = np.append((1 + np.log(freq)) * idf, filler)
-    return w / math.sqrt(float(w @ w))
+    """Examples in blocks: per term its groups (one a block: largest weight, postings), per group its postings."""
+
+    def __init__(self, vectors, y: np.ndarray, weight: np.ndarray, names: np.ndarray, block: int = 128, same: np.ndarray | None = None):
+        """``vectors``: (terms, weights) of each example, or a matrix with a row for each; ``same``: hashes of their texts."""
+        if isinstance(vectors, np.ndarray):
+            vectors = [(np.flatnonzero(v), v[np.flatnonzero(v)]) for v in vectors]
+        terms, weights = (np.concatenate([np.zeros(0, kind), *(v[j] for v in vectors)]) for j, kind in ((0, np.int64), (1, np.float64)))
+        size = np.array([len(v[0]) for v in vectors], np.int64)
+        n = len(size)
+        same = names if same is None else same
+        start = np.cumsum(size) - size
+        heavy = np.array([terms[s + int(np.argmax(weights[s : s + k]))] if k else -1 for s, k in zip(start.tolist(), size.tolist(), strict=True)], np.int64)
+        # neighbours in a block share their heaviest term or are alike in length, which keeps the maxima tight
+        order = np.lexsort((names, size, heavy))
+        self.y, self.weight, self.names, self.same = y[order], weight[order], names[order], same[order]
+        row = np.repeat(np.arange(n), size[order])
+        at = _spans(start[order], size[order])
+        term, x = terms[at], weights[at]
+        by = np.lexsort((row, term))
+        term, row, self.x = term[by], row[by], x[by]
+        self.row = row.astype(np.int64)
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (row[1:] // block != row[:-1] // block)
+        self.group_at = np.flatnonzero(new)
+        self.group_size = np.diff(np.append(self.group_at, len(term)))
+        self.group_max = np.maximum.reduceat(self.x, self.group_at) if len(term) else self.x
+        self.group_block = row[self.group_at] // block
+        self.terms, self.term_at = np.unique(term[self.group_at], return_index=True)
+        self.term_size = np.diff(np.append(self.term_at, len(self.group_at)))
+        self.blocks = -(-n // block)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, same: int | None = None, first: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the k nearest with a positive cosine, and the cosines; ties go to the smaller id."""
+        if not len(self.terms):
+            return np.zeros(0, np.int64), np.zeros(0)
+        at = np.searchsorted(self.terms, terms)
+        known = self.terms[np.minimum(at, len(self.terms) - 1)] == terms
+        at, weights = at[known], weights[known]
+        n = self.term_size[at]
+        group = _spans(self.term_at[at], n)
+        weight, where = np.repeat(weights, n), self.group_block[group]
+        bound = np.bincount(where, self.group_max[group] * weight, self.blocks)
+        score = np.zeros(len(self.y))
+
+        def read(wanted: np.ndarray) -> float:
+            """Add the postings of the wanted blocks; returns the k-th best cosine so far."""
+            nonlocal score
+            mine = wanted[where]
+            g = group[mine]
+            many = self.group_size[g]
+            p = _spans(self.group_at[g], many)
+            score += np.bincount(self.row[p], self.x[p] * np.repeat(weight[mine], many), len(score))
+            score[equal] = 0.0
+            return float(np.partition(score, -k)[-k]) if len(score) >= k else 0.0
+
+        equal = np.flatnonzero(self.same == same) if same is not None else np.zeros(0, np.int64)
+        head = np.zeros(self.blocks, bool)
+        head[np.argsort(-bound, kind="stable")[:first]] = True
+        least = read(head)
+        rest = ~head & (bound >= least - 1e-9) & (bound > 0)
+        if rest.any():
+            least = read(rest)
+        rows = np.flatnonzero(score >= max(least - 1e-12, 1e-300))
+        rows = rows[np.lexsort((self.names[rows], -np.round(score[rows], 12)))][:k]
+        return rows, score[rows]
+
+    def vote(self, rows: np.ndarray, cosines: np.ndarray, base: float) -> float:
+        w = cosines * self.weight[rows]
+        return float((w @ self.y[rows] + w.mean() * base) / (w.sum() + w.mean()))
+
+
+def weigh(terms: np.ndarray, freq: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vector of tf * idf: places and weights; terms of every document have no weight and fall out."""
+    w = freq * idf[terms]
+    terms, w = terms[w > 0], w[w > 0]
+    return terms, w / math.sqrt(float(w @ w)) if len(w) else w
 
 
 def platt(votes: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50) -> tuple[float, float]:
@@ -165,32 +187,30 @@ def platt(votes: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50)
     return max(a, 0.1), b
 
 
-def vote(index: BlockMaxIndex, rows: np.ndarray, s: np.ndarray, base: float, prior: float) -> float:
-    w = np.minimum(s, 1.0) ** 2 * index.weight[rows]
-    return float((w @ index.y[rows] + prior * base) / (w.sum() + prior))
-
+def _vote(index: BlockMaxIndex, idf: np.ndarray, base: float, k: int, evidence: int):
+    """Vote (null without a neighbour), ids and cosines of the nearest; ``doc`` passes through."""
 
-def _vote(index: BlockMaxIndex, idf: np.ndarray, filler: float, base: float, curve: tuple[float, float], k: int, prior: float, evidence: int):
     def run(batches):
-        known: dict[tuple, tuple] = {}
+        known: dict[int, tuple] = {}
         for b in batches:
-            score, names, cosines = [], [], []
-            for terms, freq in zip(b.column("terms").to_pylist(), b.column("freq").to_pylist(), strict=True):
-                key = (tuple(terms), tuple(freq))
-                if (got := known.get(key)) is None:
-                    if terms:
-                        rows, s = index.nearest(np.array([*terms, len(idf)]), weigh(np.array(freq, float), idf[terms], filler), k)
-                        v = vote(index, rows, s, base, prior)
-                        p = 1 / (1 + math.exp(-(curve[0] * math.log(v / (1 - v)) + curve[1])))
-                        got = (p, index.names[rows[:evidence]].tolist(), np.minimum(s[:evidence], 1.0).tolist())
-                    else:
-                        got = (base, [], [])
-                    if len(known) < 50_000:
-                        known[key] = got
-                score.append(got[0])
+            terms, freq = b.column("terms"), b.column("freq")
+            offs = np.asarray(terms.offsets)
+            flat, many = np.asarray(terms.values), np.asarray(freq.values)
+            shift = int(np.asarray(freq.offsets)[0]) - int(offs[0]) if len(offs) else 0
+            votes, names, cosines = [], [], []
+            for i, same in enumerate(b.column("same").to_pylist()):
+                if (got := known.get(same)) is None:
+                    lo, hi = int(offs[i]), int(offs[i + 1])
+                    t, w = weigh(flat[lo:hi], many[lo + shift : hi + shift].astype(np.float64), idf)
+                    rows, s = index.nearest(t, w, k, same)
+                    got = (index.vote(rows, s, base), index.names[rows[:evidence]].tolist(), np.minimum(s[:evidence], 1.0).tolist()) if len(rows) else (None, [], [])
+                    if len(known) >= 50_000:
+                        known.clear()
+                    known[same] = got
+                votes.append(got[0])
                 names.append(got[1])
                 cosines.append(got[2])
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(score, pa.float64()), pa.array(names, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], ["doc", "score", "evidence", "cosines"])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(votes, pa.float64()), pa.array(names, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], ["doc", "vote", "evidence", "cosines"])
 
     return run
 
@@ -199,49 +219,53 @@ def crc_mod(doc_id: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(folds))
 
 
-def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0, per_class: int = 6000, max_terms: int = 512, k: int = 15, prior: float = 1.0, filler: float = 3.0, evidence: int = 5, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0, per_class: int = 2500, most_postings: int = 2**22, k: int = 15, evidence: int = 5, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence, cosines), a row for each row of ``docs``.
 
     Labels of rows whose crc32(id as text) mod ``folds`` is ``held_fold`` are never
     read; evidence holds the ids of the nearest examples, cosines their similarities.
     """
-    known = labels.select(F.col(doc_id).alias("doc"), F.col(label).cast("int").alias("y")).where("doc is not null and y in (0, 1)").where(crc_mod("doc", folds) != held_fold).groupBy("doc").agg(F.max("y").alias("y"))
+    kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
+    rows = rows.select("doc", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("same"))
+    counted = C.written(rows.mapInArrow(C.tidy(_counts), f"doc {kind}, same long, terms array<int>, freq array<int>"))
+    n_docs = counted.count()
+    df = np.zeros(DIMS, np.int64)
+    seen = counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).toArrow()
+    df[np.asarray(seen["t"])] = np.asarray(seen["n"])
+    idf = np.log((1 + n_docs) / (1 + df))
+
+    known = labels.select(F.col(doc_id).alias("doc"), F.col(label).cast("int").alias("y")).where("doc is not null and y in (0, 1)").where(crc_mod("doc", folds) != held_fold).groupBy("doc").agg(F.max("y").alias("y"))
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc"), "doc").limit(per_class)
         chosen = part if chosen is None else chosen.union(part)
     chosen = C.written(chosen)  # at most 2 * per_class rows
-    size = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    examples = C.written(rows.join(F.broadcast(chosen), "doc").dropDuplicates(["doc"]))
-    terms = choose_terms(examples, max_terms)
-    counted = C.written(rows.mapInArrow(C.tidy(_counts(terms)), rows.drop("text").schema.simpleString()[7:-1].replace(":", " ") + ", terms array<int>, freq array<int>"))
-    stats = counted.agg(F.count("*").alias("n")).first()["n"]
-    df = {r["t"]: r["n"] for r in counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-    idf = np.array([math.log((1 + stats) / (1 + df.get(i, 0))) for i in range(len(terms))])
-    sparse = examples.mapInArrow(_counts(terms), "doc long, y int, terms array<int>, freq array<int>").orderBy("doc").toArrow().to_pydict()
-    scale = {y: totals.get(y, 0) / max(1, size.get(y, 0)) for y in (0, 1)}
-    weight_of = lambda y: scale[y] / max(scale.values())
-    bare = [sum(scale[y] for y, t in zip(sparse["y"], sparse["terms"], strict=True) if not t and y == of) for of in (0, 1)]
-    base = bare[1] / sum(bare) if sum(bare) else (totals.get(1, 0) / max(1, sum(totals.values())))
-    base = min(max(base, 1e-3), 1 - 1e-3)
-    with_terms = [i for i, t in enumerate(sparse["terms"]) if t]
-    vectors = np.zeros((len(with_terms), len(terms) + 1))
-    for row, i in enumerate(with_terms):
-        vectors[row, [*sparse["terms"][i], len(terms)]] = weigh(np.array(sparse["freq"][i], float), idf[sparse["terms"][i]], filler)
-    y = np.array([sparse["y"][i] for i in with_terms], float)
-    index = BlockMaxIndex(vectors, y, np.array([weight_of(v) for v in y]), np.array([sparse["doc"][i] for i in with_terms], np.int64))
+    texts = counted.join(F.broadcast(chosen), "doc").groupBy("doc", "y").agg(F.min(F.struct("same", "terms", "freq")).alias("t")).select("doc", "y", "t.*")
+    upto = F.sum(F.size("terms")).over(Window.partitionBy("y").orderBy(F.xxhash64("doc"), "doc"))
+    found = C.written(texts.withColumn("upto", upto))
+    examples = found.where(F.col("upto") <= most_postings // 2).drop("upto")
+    got = examples.orderBy("doc").toArrow()
+    size = {y: int((np.asarray(got["y"]) == y).sum()) for y in (0, 1)}
+    base = min(max(totals.get(1, 0) / max(1, sum(totals.values())), 1e-3), 1 - 1e-3)
+    with_text = {r["y"]: r["n"] for r in found.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    scale = {y: totals.get(y, 0) / max(1, min(per_class, totals.get(y, 0))) * with_text.get(y, 0) / max(1, size[y]) for y in (0, 1)}
+    y = np.asarray(got["y"]).astype(np.float64)
+    thin = np.where(y == 1, scale[1], scale[0]) / max(1e-9, *scale.values())
+    vectors = [weigh(np.array(t, np.int64), np.array(f, np.float64), idf) for t, f in zip(got["terms"].to_pylist(), got["freq"].to_pylist(), strict=True)]
+    index = BlockMaxIndex(vectors, y, thin, np.asarray(got["doc"]).astype(np.int64), same=np.asarray(got["same"]))
+
+    voter, out = C.tidy(_vote(index, idf, base, k, evidence)), f"doc {kind}, vote double, evidence array<long>, cosines array<double>"
     curve = (1.0, 0.0)
-    if len(y):  # votes of the examples themselves, each left out of its own
-        votes = []
-        for row in range(len(y)):
-            t = np.flatnonzero(index.vectors[row])
-            rows, s = index.nearest(t, index.vectors[row, t], k + 1)
-            other = rows != row
-            votes.append(vote(index, rows[other][:k], s[other][:k], base, prior))
-        curve = platt(np.array(votes), index.y, index.weight)
-    index.vectors = None
-    scored = counted.mapInArrow(C.tidy(_vote(index, idf, filler, base, curve, k, prior, evidence)), counted.select("doc").schema.simpleString()[7:-1].replace(":", " ") + ", score double, evidence array<long>, cosines array<double>")
+    if size[0] and size[1]:  # the examples' own votes: each goes without its own text
+        spread = examples.repartition(C.partitions(examples, 1))
+        own = spread.mapInArrow(voter, out).where("vote is not null").orderBy("doc").select("doc", "vote").toArrow()
+        place = np.searchsorted(np.asarray(got["doc"]), np.asarray(own["doc"]))
+        if len(place):
+            curve = platt(np.asarray(own["vote"]), y[place], thin[place])
+    odds = F.log(F.col("vote") / (1 - F.col("vote"))) * F.lit(curve[0]) + F.lit(curve[1])
+    scored = counted.repartition(C.partitions(counted, 4)).mapInArrow(voter, out)
     held = F.coalesce(crc_mod("doc", folds) == held_fold, F.lit(False))
-    return scored.select(F.col("doc").alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "cosines")
+    result = scored.select(F.col("doc").alias("doc_id"), held.alias("held_out"), F.coalesce(1 / (1 + F.exp(-odds)), F.lit(base)).alias("score"), "evidence", "cosines")
+    return result.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "cosines")

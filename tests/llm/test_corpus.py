@@ -191,6 +191,51 @@ def test_block_max_is_exact():
         assert np.allclose(s, best[best > 0][: len(s)]) and len(s) == min(7, (best > 0).sum())
 
 
+def test_toxicity_against_brute_force(spark):
+    """Neighbours, cosines and scores from all pairs of whole vectors in plain Python."""
+    import math
+    import re
+    from collections import Counter
+
+    from quire.llm.toxicity import platt, score
+
+    rows, labels = labelled(160, 5)
+    rng = random.Random(6)
+    spelled = str.maketrans("0123456789", "abcdefghij")
+    rows = [(i, t.translate(spelled) if i % 4 else t, *r) for i, t, *r in rows]  # a fourth has one stem beside the marked ones: many ties
+    rows += [(500 + i, rows[i][1], "en", "a", 1) for i in range(0, 20, 3)] + [(600, None, None, None, None), (601, "12 34", "en", "a", 1), (602, "Wörtchen ÉTÉ été " + prose(rng, 3000).translate(spelled), "fr", "b", 1)]
+    labels = [*labels, (500, 0), (501, 1), (602, 0)]
+    k, texts, y = 7, {r[0]: r[1] or "" for r in rows}, {i: v for i, v in labels if zlib.crc32(str(i).encode()) % 5 and i in {r[0] for r in rows}}
+    bags = {i: Counter(zlib.crc32(w[:4].encode()) % 2**20 for w in re.findall(r"[^\W\d_]+", t.lower())) for i, t in texts.items()}
+    df = Counter(w for b in bags.values() for w in b)
+    unit = {}
+    for i, b in bags.items():
+        v = {w: n * math.log((1 + len(texts)) / (1 + df[w])) for w, n in b.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        unit[i] = {w: x / size for w, x in v.items() if x > 0}
+    read = {i: v for i, v in labels if zlib.crc32(str(i).encode()) % 5}  # labels without a document count in the base rate
+    base = sum(read.values()) / len(read)
+
+    def near(i):
+        cos = [(sum(x * unit[j][w] for w, x in unit[i].items() if w in unit[j]), j) for j in y if texts[j] != texts[i]]
+        return sorted(((round(c, 12), j, c) for c, j in cos if c > 0), key=lambda t: (-t[0], t[1]))[:k]
+
+    def vote(i):
+        got = near(i)
+        mean = sum(c for *_, c in got) / max(1, len(got))
+        return (sum(c * y[j] for _, j, c in got) + mean * base) / (sum(c for *_, c in got) + mean) if got else None
+
+    own = [(vote(j), y[j]) for j in sorted(y)]
+    a, b = platt(np.array([v for v, _ in own]), np.array([t for _, t in own], float), np.ones(len(own)))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    got = {r.doc_id: r for r in score(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), k=k).collect()}
+    assert set(got) == set(texts)
+    for i, r in got.items():
+        v = vote(i)
+        assert abs(r.score - (base if v is None else 1 / (1 + math.exp(-(a * math.log(v / (1 - v)) + b))))) < 1e-9
+        assert r.evidence == [j for _, j, _ in near(i)[:5]] and np.allclose(r.cosines, [c for *_, c in near(i)[:5]], rtol=0, atol=1e-9)
+
+
 # ---------------------------------------------------------------- sharding
 def test_sharding(spark, odd, none):
     from pyspark.sql import functions as F
