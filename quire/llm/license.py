@@ -33,25 +33,38 @@ from pyspark.sql import functions as F
 
 from quire.llm import common as C
 
+_UNDER = r"\b(?:(?:licen[sc]ed|released|distributed|redistributed|available|provided|published|governed|covered) (?:under|by)|under|subject to)(?: the| a| an)?(?: terms(?: and conditions)? of)?(?: the| a| an)?"
+_VERSION = r"(?: version| v)? ?(?P<version>\d(?:\.\d)?)?"
+_LATER = r"(?P<later>\+| (?:and |or )?(?:at your option )?any later version| or (?:newer|later))?"
 #: Sentence patterns over normalised sentences: identifier, regular expression (searched from the start of a word).
 SENTENCES: Sequence[tuple[str, str]] = (
     ("spdx", r"\bspdx license identifier (?P<id>[a-z0-9.+ ]+)"),
-    ("cc", r"\b(?:licensed under|released under|under the terms of|available under)(?: the| a)? (?:cc|creative commons) (?P<id>by(?: (?:nc|nd|sa))*|attribution(?: noncommercial| noderivatives| sharealike)*|zero|0)(?: (?P<version>\d\.\d))?"),
-    ("gpl_named", r"\b(?:licensed under|released under|under the terms of|distributed under|governed by)(?: the)? (?P<id>gnu (?:lesser |affero )?general public license|agpl|lgpl|gpl)(?: as published by the free software foundation)?(?: either)?(?: version| v)? ?(?P<version>\d(?:\.\d)?)?(?: of the license)?(?P<later> or at your option any later version| or any later version| or later)?"),
-    ("mit_named", r"\b(?:licensed under|released under|under the terms of|distributed under|governed by)(?: the)? (?:mit|expat) license"),
-    ("apache_named", r"\b(?:licensed under|released under|under the terms of|distributed under|governed by)(?: the)? apache(?: software)? license(?: version| v)? ?(?P<version>\d(?:\.\d)?)?"),
-    ("mpl_named", r"\b(?:licensed under|released under|subject to|under)(?: the terms of)?(?: the)? mozilla public license(?: version| v)? ?(?P<version>\d(?:\.\d)?)?"),
-    ("bsd_named", r"\b(?:licensed under|released under|under the terms of|governed by)(?: a| the)? (?P<version>[23])? ?(?:clause )?(?:new |modified |simplified )?bsd(?: style)? license"),
+    ("cc", _UNDER + r" (?:cc|creative commons) ?(?P<id>by(?: (?:nc|nd|sa))*|attribution(?: non ?commercial| no ?derivatives| no ?derivs| share ?alike)*|zero|0)(?: licen[sc]e)?(?: (?P<version>\d\.\d))?"),
+    ("gpl_named", _UNDER + r" (?P<id>(?:gnu )?(?:lesser |library |affero )?general public license|(?:gnu )?(?:agpl|lgpl|gpl))(?: licen[sc]e)?(?: as published by the free software foundation)?(?: either)?" + _VERSION + r"(?: of the license)?" + _LATER),
+    ("mit_named", _UNDER + r" (?:mit|expat)(?: x11)? licen[sc]e"),
+    ("apache_named", _UNDER + r" apache(?: software)?(?: public)? licen[sc]e" + _VERSION),
+    ("mpl_named", _UNDER + r" mozilla public licen[sc]e" + _VERSION),
+    ("epl_named", _UNDER + r" eclipse public licen[sc]e" + _VERSION),
+    ("boost_named", _UNDER + r" boost software licen[sc]e" + _VERSION),
+    ("isc_named", _UNDER + r" isc licen[sc]e"),
+    ("zlib_named", _UNDER + r" zlib(?: libpng)? licen[sc]e"),
+    ("bsd_named", _UNDER + r" (?:(?P<version>[234]) ?clause )?(?:new |modified |simplified |revised )?bsd(?: (?P<clauses>[234]) ?clause)?(?: style)? licen[sc]e"),
     ("mit_grant", r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("mit_notice", r"the above copyright notice and this permission notice shall be included in all copies"),
     ("as_is", r"(?:the|this) software is provided (?:by .*?)?as is"),
+    ("isc_grant", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("zlib_grant", r"permission is granted to anyone to use this software for any purpose including commercial applications"),
+    ("zlib_origin", r"(?:\d\.? )?the origin of this software must not be misrepresented"),
+    ("boost_grant", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("unlicense", r"this is free and unencumbered software released into the public domain"),
+    ("cc0_waiver", r"to the extent possible under law .{0,200}?waived all copyright and related or neighboring rights"),
     ("bsd_grant", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd_source", r"(?:\d\.? )?redistributions of source code must retain the above copyright notice"),
     ("bsd_binary", r"(?:\d\.? )?redistributions in binary form must reproduce the above copyright notice"),
     ("bsd_endorse", r"(?:\d\.? )?neither the name of"),
     ("apache_comply", r"you may not use this file except in compliance with the license"),
     ("apache_copy", r"you may obtain a copy of the license at"),
-    ("gpl_modify", r"(?:this (?:program|library|software|file) is free software )?you can redistribute it and or modify it under the terms of the gnu (?P<id>lesser |affero )?general public license(?: as published by the free software foundation)?(?: either)?(?: version (?P<version>\d(?:\.\d)?))?(?: of the license)?(?P<later> or at your option any later version)?"),
+    ("gpl_modify", r"(?:this (?:program|library|software|file) is free software )?you can redistribute it and or modify it under the terms of the gnu (?P<id>lesser |library |affero )?general public license(?: as published by the free software foundation)?(?: either)?(?: version (?P<version>\d(?:\.\d)?))?(?: of the license)?(?P<later> or at your option any later version)?"),
     ("gpl_warranty", r"this (?:program|library|software|file) is distributed in the hope that it will be useful"),
     ("reserved", r"\ball rights reserved"),
     ("copyright", r"copyright(?: c)? \d{4}"),
@@ -71,13 +84,25 @@ RULES: Sequence[tuple[str, tuple[str, ...]]] = (
     ("Apache-{version}", ("apache_named", "apache_comply")),
     ("Apache-{version}", ("apache_named",)),
     ("MPL-{version}", ("mpl_named",)),
+    ("EPL-{version}", ("epl_named",)),
+    ("BSL-{version}", ("boost_named",)),
+    ("BSL-1.0", ("boost_grant", "as_is")),
+    ("BSL-1.0", ("boost_grant",)),
+    ("ISC", ("isc_grant", "as_is")),
+    ("ISC", ("isc_grant",)),
+    ("ISC", ("isc_named",)),
+    ("Zlib", ("as_is", "zlib_grant", "zlib_origin")),
+    ("Zlib", ("zlib_grant", "zlib_origin")),
+    ("Zlib", ("zlib_named",)),
+    ("Unlicense", ("unlicense",)),
+    ("CC0-1.0", ("cc0_waiver",)),
     *((name, (*before, *core, *after)) for name, core in (("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse")), ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary"))) for before in ((), ("reserved",), ("copyright", "reserved")) for after in ((), ("as_is",))),
     ("BSD-{version}-Clause", ("bsd_named",)),
     ("proprietary", ("copyright", "reserved")),
     ("proprietary", ("reserved",)),
 )
 #: Every sentence pattern, and _ABOUT, holds one of these, whatever stands between its words.
-TRIGGER = re.compile(r"licen[sc]|copyright|spdx|redistribut|hereby|neither|gpl|gnu|creative|(?<![a-z0-9.+])cc(?![a-z0-9.+])|(?:all[^a-z0-9.+]+rights|as[^a-z0-9.+]+is|hope[^a-z0-9.+]+that)", re.I)
+TRIGGER = re.compile(r"licen[sc]|copyright|spdx|redistribut|hereby|neither|gpl|gnu|creative|unencumbered|misrepresented|(?<![a-z0-9.+])cc(?:0|(?![a-z0-9.+]))|(?:all[^a-z0-9.+]+rights|as[^a-z0-9.+]+is|hope[^a-z0-9.+]+that|granted[^a-z0-9.+]+to[^a-z0-9.+]+anyone)", re.I)
 _CUT = re.compile(r"\n|(?<=[.!?])\s+")
 _SPLIT_WORDS = re.compile(r"[^a-z0-9.+]+")
 _ABOUT = re.compile(r"\blicen[sc]ed? (?:under|by|to)\b|\ball rights\b")
@@ -129,16 +154,21 @@ def recognise(plain: str) -> list[tuple[str, dict[str, str], int, int]]:
 
 
 #: Names of families, in the form the rules print.
-FAMILIES = {"gnu general public license": "GPL", "gpl": "GPL", "gnu lesser general public license": "LGPL", "lgpl": "LGPL", "gnu affero general public license": "AGPL", "agpl": "AGPL", "lesser": "LGPL", "affero": "AGPL", "": "GPL"}
+FAMILIES = {"": "GPL", "gpl": "GPL", "lesser": "LGPL", "library": "LGPL", "lgpl": "LGPL", "affero": "AGPL", "agpl": "AGPL"}
+#: Words of Creative Commons names, in the form the rules print.
+TERMS = {"attribution": "BY", "by": "BY", "noncommercial": "NC", "nc": "NC", "noderivatives": "ND", "noderivs": "ND", "nd": "ND", "sharealike": "SA", "sa": "SA", "zero": "0", "0": "0"}
 
 
 def _name(rule: str, found: dict[str, str]) -> str:
     kind = found.get("id", "").strip()
     if rule.startswith("GPL-{id}"):
+        kind = kind.removeprefix("gnu").strip().removesuffix("general public license").strip()
         rule, kind = rule.removeprefix("GPL-"), FAMILIES.get(kind, kind)
     elif rule.startswith("CC-"):
-        kind = kind.replace(" ", "-").upper()
-    version = found.get("version", "").strip()
+        words = re.sub(r"\b(non?|share) ", r"\1", kind).split()
+        kind = "-".join(TERMS.get(w, w.upper()) for w in words)
+        rule = "CC{id}-{version}" if kind == "0" else rule
+    version = (found.get("version") or found.get("clauses") or "").strip()
     out = rule.format(id=kind, version=version, later="-or-later" if found.get("later") else "")
     return re.sub(r"-(?=-|$)", "", out.replace(" ", "-"))
 
