@@ -5,19 +5,23 @@ texts) and the id. Boundaries between shards are found before anything moves:
 
 1. Count exact bytes and rows below evenly spaced probes over the whole key space.
 2. Every boundary lies between two probes; lay new probes between them and count
-   again, only rows in between, until the bytes there are within the tolerance
-   or the key has no bits left. A group larger than the tolerance is thus split
-   by id; any other stays whole.
+   again, only rows in between, until the bytes there are within the slack of the
+   boundary or the key has no bits left. A group larger than the slack is thus
+   split by id; any other stays whole. The slack between two shards is
+   ``tolerance`` of a shard's bytes (a quarter of a part's, if that is less), that
+   between two parts of a shard ``tolerance`` of a part's.
 3. Exchange once, by boundary number; a row's slot in its shard is the exact
    count of rows before its boundary, known from the histograms, and its rank
-   after it.
+   after it: in the order of group hash and id, so slots don't depend on the order
+   of the input.
 
 Each shard is cut into ``parts`` ranges, so work doesn't stop at the number of
 shards. The driver holds counts of at most 4096 + 512 * shards * parts probes a
 round. Every round reads the narrow key table alone.
 
 Edge cases: null texts are one group of their own; null ids come before all
-others; rows equal in group and id can't be parted and stay together; fewer rows
+others; rows equal in group and id can't be parted and stay together, in any order
+among themselves; ids that differ in the last bit alone lie in one part; fewer rows
 than shards leave shards empty; an empty table gives an empty table; columns
 named like the key's are replaced, all others pass through.
 """
@@ -50,15 +54,17 @@ def _cells(rows: DataFrame, active: list[tuple[int, int]], column: str, shift: i
     return {k: sorted(v) for k, v in out.items()}
 
 
-def splitters(keys: DataFrame, n: int, tolerance: float) -> list[tuple[int, int, int, int]]:
+def splitters(keys: DataFrame, n: int, tolerance: float, parts: int = 1) -> list[tuple[int, int, int, int]]:
     """n - 1 rising boundaries (h, e, bytes below, rows below): rows with a key >= (h, e) lie behind.
 
-    ``keys`` has _h and _e (63 bits each) and _bytes. Bytes between neighbours differ from
-    the mean by at most twice ``tolerance`` of it, or by the bytes of one indivisible key.
+    ``keys`` has _h and _e (63 bits each) and _bytes. Every boundary lies within its slack of
+    the even division, or within the bytes of one indivisible key; every ``parts``-th one
+    is a boundary between shards, with more slack.
     """
     total = keys.agg(F.coalesce(F.sum("_bytes"), F.lit(0)).alias("b")).first()["b"]
     goals = [total * i // n for i in range(1, n)]
-    slack = max(0, int(tolerance * total / n))
+    inner, outer = tolerance * total / n, min(tolerance * total * parts / n, max(tolerance, 0.25) * total / n)
+    slack = [int(outer if i % parts == 0 else inner) for i in range(1, n)]
     state = [(-1, -1, 0, 0)] * len(goals)  # group, prefix, bytes and rows below
     done: dict[int, tuple[int, int, int, int]] = {}
     shift, column = BITS, "_h"
@@ -72,7 +78,7 @@ def splitters(keys: DataFrame, n: int, tolerance: float) -> list[tuple[int, int,
             for cell, b, k in found.get((g, p), []):
                 if below + b >= goals[i] or (cell, b, k) == found[g, p][-1]:
                     last = column == "_e" and shift == 0
-                    if b <= slack or last:
+                    if b <= slack[i] or last:
                         near = goals[i] - below > below + b - goals[i] and (cell + 1) << shift < 2**BITS
                         at = (cell + 1 if near else cell) << shift
                         key = (at, 0) if column == "_h" else (g, at)
@@ -98,7 +104,7 @@ def splitters(keys: DataFrame, n: int, tolerance: float) -> list[tuple[int, int,
                 g, _, below, rows = state[i]
                 for cell, b, k in sorted(found[g]):
                     if below + b >= goals[i] or (cell, b, k) == sorted(found[g])[-1]:
-                        if b <= slack:
+                        if b <= slack[i]:
                             near = goals[i] - below > below + b - goals[i] and (cell + 1) << shift < 2**BITS
                             done[i] = (g, (cell + near) << shift, below + b * near, rows + k * near)
                         state[i] = (g, cell, below, rows)
@@ -113,9 +119,9 @@ def shard(df: DataFrame, size: Column, group: Column, doc_id: str = "doc_id", sh
     parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // shards)
     h = F.shiftrightunsigned(F.xxhash64(group.isNull(), group), 1)
     e = F.shiftrightunsigned(C.key_of(doc_id).bitwiseXOR(F.lit(C.NULL_ID)), 1)
-    keep = [c for c in df.columns if c not in {"_h", "_e", "_bytes", "shard", "slot"}]
-    rows = C.written(df.select(*[F.col(f"`{c}`") for c in keep], h.alias("_h"), e.alias("_e"), size.cast("long").alias("_bytes")))
-    bounds = splitters(rows.select("_h", "_e", "_bytes"), shards * parts, tolerance)
+    keep = [c for c in df.columns if c not in {"_h", "_e", "_id", "_bytes", "shard", "slot"}]
+    rows = C.written(df.select(*[F.col(f"`{c}`") for c in keep], h.alias("_h"), e.alias("_e"), C.key_of(doc_id).alias("_id"), size.cast("long").alias("_bytes")))
+    bounds = splitters(rows.select("_h", "_e", "_bytes"), shards * parts, tolerance, parts)
     # boundary number: boundaries in earlier cells of the key space, and those passed in the row's own cell
     shift = BITS - TOP
     cells: dict[int, list[tuple[int, int]]] = {}
@@ -130,6 +136,6 @@ def shard(df: DataFrame, size: Column, group: Column, doc_id: str = "doc_id", sh
     places = spark.createDataFrame([(i, i // parts, starts[i][1] - starts[i // parts * parts][1]) for i in range(shards * parts)], "_part int, shard int, _first long")
     dealt = rows.join(F.broadcast(lookup), F.shiftright("_h", shift).cast("int") == F.col("_cell"))
     dealt = dealt.withColumn("_part", F.expr("_base + size(filter(_at, x -> x.h < _h or (x.h = _h and x.e <= _e)))"))
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_h", "_e")) - 1
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_h", "_e", "_id")) - 1
     out = dealt.withColumn("_rank", rank).join(F.broadcast(places), "_part")
     return out.select(*[F.col(f"`{c}`") for c in keep], "shard", (F.col("_first") + F.col("_rank")).cast("long").alias("slot"))
