@@ -125,15 +125,16 @@ ORACLES = {
         SELECT b.doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
             NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND fits AS kept FROM b JOIN x ON x.doc_id = b.doc_id""",
     "op6_perspective_rotation": """
-        WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS content FROM conversations),
-        p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
-        r AS (SELECT t.*, perspective, CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN speaker ELSE 'user name=' || speaker END AS tag FROM t JOIN p ON t.conv_id = p.conv_id),
+        WITH t AS (SELECT conv_id, turn, role, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS content FROM conversations),
+        p AS (SELECT DISTINCT conv_id AS c, role AS r FROM t WHERE role IS DISTINCT FROM 'system'),
+        r AS (SELECT t.*, coalesce(p.r, 'unknown') AS perspective, p.r IS NULL AS anonymous, role IS NOT DISTINCT FROM p.r AS loss, replace(replace(speaker, '<|', '< |'), '|>', '| >') AS shown FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.c),
+        g AS (SELECT *, CASE WHEN loss THEN 'assistant' WHEN role = 'system' THEN shown ELSE 'user name=' || shown END AS tag FROM r),
         s AS (SELECT *, '<|' || tag || '|>
 ' || content || '<|end|>
-' AS rendered FROM r),
-        o AS (SELECT *, CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY turn, speaker, content ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_start FROM s)
-        SELECT conv_id, perspective, turn, speaker, tag, rendered, char_start, char_start + length(rendered) AS char_end, char_start + length(tag) + 5 AS content_start,
-            char_start + length(tag) + 5 + length(content) AS content_end, speaker = perspective AS loss FROM o""",
+' AS rendered FROM g),
+        o AS (SELECT *, CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective, anonymous ORDER BY turn NULLS FIRST, role NULLS FIRST, content ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_start FROM s)
+        SELECT conv_id, perspective, anonymous, turn, speaker, tag, rendered, char_start, char_start + length(rendered) AS char_end, char_start + length(tag) + 5 AS content_start,
+            char_start + length(tag) + 5 + length(content) AS content_end, loss FROM o""",
     "op7_minhash_near_dedup": """
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
