@@ -1,19 +1,25 @@
 """Mixing sources to target weights, in DataFrame operations alone.
 
 1. The words of a source, document after document, form one stream, packed into
-   blocks of ``block`` words (shorter ones for sources under 64 blocks, so that
-   small sources can meet their targets too).
-2. Output slots are dealt into shards of ``shard_slots``. Every slot draws its
-   source by the target shares, so the counts of a shard are multinomial; then
-   draws beyond a source's number move to sources that have too few, so that
-   the totals over all shards meet the targets to a block (independent draws
-   alone would leave noise of the square root of a source's blocks).
-3. The j-th draw of a source takes block perm(j mod n) of its n blocks; perm is
+   blocks of ``block`` words; the last block of a source holds what is left.
+2. A source needs the least number of blocks that hold its target; the words of
+   its last draw beyond the target stay out (``spare``), so that every source
+   meets its target to the word.
+3. Output slots are dealt into shards of ``shard_slots``. The slots of all sources
+   go through one pseudorandom permutation, so the source counts of a shard are a
+   multinomial draw by the target shares, conditioned on the totals over all shards
+   (independent draws would miss the targets by the square root of their number).
+4. The j-th draw of a source takes block perm(j mod n) of its n blocks; perm is
    a swap-or-not permutation of [0, n), another one for each pass.
-4. Slots and blocks join by (source, block).
+5. Slots and blocks join by (source, block).
 
 A source that holds most rows is never gathered: its stream offsets come from
-sums per hash bucket, and all joins are by block or by bucket.
+sums per hash bucket of about ``bucket_rows`` rows, and all joins are by block or
+by bucket. Tables with a row for each source (``source_plan``) are sorted in one
+task, which is meant for thousands of sources, not for millions.
+
+Rows of a source follow each other by bucket, id and text hash, whatever the
+order of the input, so reruns agree; rows equal in id and text are alike.
 
 Edge cases: null and wordless texts have size 0 and take nothing; null is a
 source of its own, after all others; sources of size 0 have target 0; null ids
@@ -45,6 +51,14 @@ def permuted(df: DataFrame, index: str, size: str, keys: list[str], rounds: int
     return df.withColumn(index, F.expr(f"aggregate(sequence(1, {rounds}), `{index}`, (x, r) -> {round_})"))
 
 
+def permuted_inverse(df: DataFrame, index: str, size: str, keys: list[str], rounds: int = 12) -> DataFrame:
+    """The place that ``permuted`` maps to ``index``: each round undoes itself, so they go backwards."""
+    named = ", ".join(f"`{k}`" for k in keys)
+    other = f"pmod(pmod(xxhash64(2 * r, {named}), `{size}`) - x, `{size}`)"
+    round_ = f"if(xxhash64(2 * r + 1, greatest(x, {other}), {named}) % 2 = 0, {other}, x)"
+    return df.withColumn(index, F.expr(f"if(`{size}` > 0, aggregate(sequence({rounds}, 1, -1), `{index}`, (x, r) -> {round_}), `{index}`)"))
+
+
 def _before(x: str | Column, w) -> Column:
     c = F.col(x) if isinstance(x, str) else x
     return F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -73,74 +87,76 @@ def source_plan(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
 
 @dataclass
 class Mixture:
-    """sources (sid, source, source_size, target, block, blocks, draws); rows (every document with its place
-    ``start`` in its source's stream); draws (shard, sid, n): source counts per shard; slots (shard, slot, sid,
-    block_id); fragments (sid, block_id, start, first, n): the words of a document that a block holds."""
+    """sources (sid, source, source_size, target, blocks, draws, spare); rows (every document with its text's hash
+    ``h`` and its place ``start`` in its source's stream); slots (shard, slot, sid, block_id, words): what each
+    slot takes from the start of its block; fragments (sid, block_id, doc_id, h, start, first, at, n): the words
+    [first, first + n) of a document that a block holds from its own word ``at`` on."""
 
     sources: DataFrame
     rows: DataFrame
-    draws: DataFrame
     slots: DataFrame
     fragments: DataFrame
 
+    @property
+    def draws(self) -> DataFrame:
+        """(shard, sid, n): source counts per shard."""
+        return self.slots.groupBy("shard", "sid").agg(F.count("*").alias("n"))
+
     def taken(self) -> DataFrame:
-        """Fragments with ``uses`` > 0: how often the mixture takes them."""
-        uses = self.slots.groupBy("sid", "block_id").agg(F.count("*").alias("uses"))
-        return self.fragments.join(uses, ["sid", "block_id"])
+        """Fragments with ``uses`` > 0: how often the mixture takes them. One that a cut slot takes in part is two."""
+        uses = self.slots.groupBy("sid", "block_id").agg(F.count("*").alias("uses"), F.min("words").alias("words"))
+        met = self.fragments.join(uses, ["sid", "block_id"])
+        head = F.greatest(F.lit(0), F.least(F.col("n"), F.col("words") - F.col("at")))
+        parts = F.array(F.struct(F.col("first").alias("first"), head.alias("n"), F.col("uses").alias("uses")), F.struct((F.col("first") + head).alias("first"), (F.col("n") - head).alias("n"), (F.col("uses") - 1).alias("uses")))
+        return met.select("sid", "block_id", "doc_id", "h", "start", F.inline(parts)).where("n > 0 and uses > 0")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = 32, shard_slots: int = 1024, seed: int = 7, bucket_rows: int = 20_000, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> Mixture:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = 32, shard_slots: int = 1024, seed: int = 7, bucket_rows: int = 1000, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> Mixture:
     """Draw a mixture of ``share`` times all words from all sources of ``docs``."""
     spark = docs.sparkSession
-    sized = C.written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), C.word_count(F.col(text)).alias("size")))
-    # blocks and draws per source: draws is at most cap * blocks
-    s = source_plan(sized, weights, share, cap)
-    s = s.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), F.expr("source_size div 64"))).cast("long"))
-    s = s.withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
-    s = s.withColumn("draws", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("blocks") * F.lit(float(cap))), F.round(F.col("target") * F.col("blocks") / F.col("source_size")))).otherwise(0).cast("long"))
+    words, h = C.word_count(F.col(text)), F.xxhash64(F.col(text).cast("string"))
+    sized = C.written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words.alias("size"), h.alias("h")))
+    s = source_plan(sized, weights, share, cap).withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
+    # the words of j draws: whole passes, and in the last pass a block each; the short block counts as one like the others
+    want = F.least(F.round("target"), F.floor(F.col("source_size") * F.lit(float(cap)))).cast("long")
+    s = s.withColumn("want", want).withColumn("turns", F.expr("if(source_size > 0, want div source_size, 0)"))
+    s = s.withColumn("rest", F.expr("if(source_size > 0, want % source_size, 0)"))
+    # where the pass's permutation puts the short block, which may lie among those drawn
+    s = permuted_inverse(s.withColumn("short", F.greatest(F.col("blocks") - 1, F.lit(0))), "short", "blocks", ["sid", "turns"])
+    s = s.withColumn("gap", F.col("blocks") * block - F.col("source_size"))
+    s = s.withColumn("full", F.ceil(F.col("rest") / block).cast("long"))
+    s = s.withColumn("more", F.when(F.col("short") < F.col("full"), F.ceil((F.col("rest") + F.col("gap")) / block)).otherwise(F.col("full")).cast("long"))
+    held = F.col("more") * block - F.when(F.col("short") < F.col("more"), F.col("gap")).otherwise(0)
+    s = s.withColumn("spare", F.when(F.col("rest") > 0, held - F.col("rest")).otherwise(0)).withColumn("draws", F.col("turns") * F.col("blocks") + F.col("more"))
+    s = s.select("sid", "source", "source_size", "target", "blocks", "draws", "spare")
     s = C.written(s.withColumn("draws_before", _before("draws", Window.orderBy("sid")).cast("long")))
     total = int(s.agg(F.coalesce(F.sum("draws"), F.lit(0))).first()[0])
 
     # places in the source's stream: sums per bucket, then inside the bucket
-    count = sized.count()
-    buckets = max(1, count // bucket_rows)
-    keyed = sized.join(s.select("sid", F.col("source").alias("_s"), "block"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    buckets = max(1, sized.count() // bucket_rows)
+    keyed = sized.join(s.select("sid", F.col("source").alias("_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "h"), F.lit(buckets)).cast("int"))
     sums = keyed.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.withColumn("base", _before("n", Window.partitionBy("sid").orderBy("bucket"))).select("sid", "bucket", "base")
-    inner = _before("size", Window.partitionBy("sid", "bucket").orderBy("doc_id"))
-    rows = C.written(keyed.withColumn("inner", inner).join(sums, ["sid", "bucket"]).select("sid", "doc_id", "size", "block", (F.col("base") + F.col("inner")).cast("long").alias("start")))
-
-    # every slot draws a source
-    slot = spark.range(total).select(F.col("id").alias("g"), F.expr(f"id div {shard_slots}").alias("shard"), (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) / F.lit(2.0**53)).alias("u"))
-    slot = slot.withColumn("cell", F.floor(F.col("u") * CELLS).cast("int"))
-    spans = s.where("draws > 0").select("sid", (F.col("draws_before") / F.lit(float(max(1, total)))).alias("lo"), ((F.col("draws_before") + F.col("draws")) / F.lit(float(max(1, total)))).alias("hi"))
-    spans = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS).cast("int"), F.floor(F.col("hi") * CELLS).cast("int"))))
-    drawn = slot.join(spans, "cell").where("u >= lo and u < hi").select("g", "shard", "sid")
-    drawn = C.written(drawn.withColumn("k", F.row_number().over(Window.partitionBy("shard", "sid").orderBy("g")) - 1))
-    draws = drawn.groupBy("shard", "sid").agg(F.count("*").alias("n"))
-    offset = draws.withColumn("offset", _before("n", Window.partitionBy("sid").orderBy("shard"))).select("shard", "sid", "offset")
-
-    # draws beyond a source's number go where they lack
-    got = draws.groupBy("sid").agg(F.sum("n").alias("got"))
-    have = s.select("sid", "draws", "blocks").join(got, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0)))
-    have = have.withColumn("over", F.greatest(F.col("got") - F.col("draws"), F.lit(0))).withColumn("under", F.greatest(F.col("draws") - F.col("got"), F.lit(0)))
-    have = C.written(have.withColumn("over_before", _before("over", Window.orderBy("sid"))).withColumn("under_before", _before("under", Window.orderBy("sid"))))
-    placed = drawn.join(offset, ["shard", "sid"]).select("g", "shard", "sid", (F.col("offset") + F.col("k")).alias("j"))
-    placed = placed.join(have.select("sid", "draws", "blocks", "over_before"), "sid")
-    fits = placed.where("j < draws").select("g", "shard", "sid", "j", "blocks")
-    step = 4096
-    moved = placed.where("j >= draws").select("g", "shard", (F.col("over_before") + F.col("j") - F.col("draws")).alias("r")).withColumn("cell", F.expr(f"r div {step}"))
-    lack = have.where("under > 0").select("sid", "got", "blocks", "under", "under_before").withColumn("cell", F.explode(F.expr(f"sequence(under_before div {step}, (under_before + under - 1) div {step})")))
-    moved = moved.join(lack, "cell").where("r >= under_before and r < under_before + under").select("g", "shard", "sid", (F.col("got") + F.col("r") - F.col("under_before")).alias("j"), "blocks")
-    slots = fits.unionByName(moved).withColumn("turn", F.expr("j div blocks")).withColumn("block_id", F.col("j") % F.col("blocks"))
-    slots = permuted(slots, "block_id", "blocks", ["sid", "turn"]).select("shard", (F.col("g") % shard_slots).alias("slot"), "sid", "block_id")
-
-    cut = rows.where("size > 0").withColumn("block_id", F.explode(F.expr("sequence(start div block, (start + size - 1) div block)")))
-    first = F.greatest(F.col("start"), F.col("block_id") * F.col("block"))
-    last = F.least(F.col("start") + F.col("size"), (F.col("block_id") + 1) * F.col("block"))
-    fragments = cut.select("sid", "block_id", "start", (first - F.col("start")).alias("first"), (last - first).alias("n"))
-    return Mixture(s, rows, draws, slots, fragments)
+    inner = _before("size", Window.partitionBy("sid", "bucket").orderBy("doc_id", "h"))
+    rows = C.written(keyed.withColumn("inner", inner).join(sums, ["sid", "bucket"]).select("sid", "doc_id", "h", "size", (F.col("base") + F.col("inner")).cast("long").alias("start")))
+
+    # every slot draws a source: its place in one permutation of all draws falls into a source's span
+    slot = spark.range(total).select(F.col("id").alias("g"), F.col("id").alias("at"), F.lit(total).cast("long").alias("all"), F.lit(seed).alias("seed"))
+    slot = permuted(slot, "at", "all", ["seed"]).select("g", "at", F.expr(f"at * {CELLS} div {max(1, total)}").alias("cell"))
+    spans = s.where("draws > 0").select("sid", "blocks", "draws", "spare", "draws_before", F.explode(F.expr(f"sequence(draws_before * {CELLS} div {max(1, total)}, (draws_before + draws - 1) * {CELLS} div {max(1, total)})")).alias("cell"))
+    drawn = slot.join(spans, "cell").where("at >= draws_before and at < draws_before + draws")
+    drawn = drawn.withColumn("j", F.col("at") - F.col("draws_before")).withColumn("turn", F.expr("j div blocks")).withColumn("block_id", F.col("j") % F.col("blocks"))
+    held = F.when(F.col("j") == F.col("draws") - 1, F.col("spare")).otherwise(0)
+    drawn = permuted(drawn, "block_id", "blocks", ["sid", "turn"]).join(s.select("sid", "source_size"), "sid")
+    in_block = F.least(F.lit(block).cast("long"), F.col("source_size") - F.col("block_id") * block)
+    slots = drawn.select(F.expr(f"g div {shard_slots}").alias("shard"), (F.col("g") % shard_slots).alias("slot"), "sid", "block_id", (in_block - held).alias("words"))
+
+    cut = rows.where("size > 0").withColumn("block_id", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
+    first = F.greatest(F.col("start"), F.col("block_id") * block)
+    last = F.least(F.col("start") + F.col("size"), (F.col("block_id") + 1) * block)
+    fragments = cut.select("sid", "block_id", "doc_id", "h", "start", (first - F.col("start")).alias("first"), (first - F.col("block_id") * block).alias("at"), (last - first).alias("n"))
+    return Mixture(s, rows, slots, fragments)
 
 
 def taken_words(m: Mixture) -> DataFrame:
