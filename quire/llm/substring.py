@@ -25,6 +25,8 @@ table; extra columns pass through.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -159,7 +161,10 @@ def intervals(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return s[new], s[last] + width
 
 
-def _cut(width: int, schema: T.StructType):
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def _cut(width: int, schema: T.StructType, spacing: bool):
     from pyspark.sql.pandas.types import to_arrow_schema
 
     target = to_arrow_schema(schema)
@@ -182,39 +187,44 @@ def _cut(width: int, schema: T.StructType):
                     found = {d: (i, i + k) for d, i, k in zip(doc[at].tolist(), at.tolist(), n.tolist(), strict=True)}
                 kept, total, removed, spans = [], [], [], []
                 for text, key in zip(b.column("_q_text"), b.column("_q_key").to_pylist(), strict=True):
-                    words = (text.as_buffer().to_pybytes() if text.is_valid else b"").split()
+                    raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+                    words = raw.split()
                     total.append(len(words))
                     spans.append([])
                     if key in found:
                         lo, hi = intervals(place[slice(*found[key])], width)
-                        out, last = [], 0
-                        for a, z in zip(lo.tolist(), hi.tolist(), strict=True):
-                            z = min(z, len(words))
-                            if a < z:
-                                out += words[last:a]
-                                last = z
-                                spans[-1].append({"from": a, "to": z})
-                        words = out + words[last:]
-                    kept.append(b" ".join(words))
-                    removed.append(total[-1] - len(words))
+                        cuts = [(a, min(z, len(words))) for a, z in zip(lo.tolist(), hi.tolist(), strict=True) if a < len(words)]
+                        spans[-1] += [{"from": a, "to": z} for a, z in cuts]
+                    stays = list(zip([0, *(s["to"] for s in spans[-1])], [*(s["from"] for s in spans[-1]), len(words)], strict=True))
+                    stays = [(a, z) for a, z in stays if a < z]
+                    removed.append(len(words) - sum(z - a for a, z in stays))
+                    if not spacing:
+                        kept.append(b" ".join(w for a, z in stays for w in words[a:z]))
+                    elif not spans[-1]:
+                        kept.append(raw)
+                    else:
+                        at = [m.span() for m in _WORD.finditer(raw)]
+                        kept.append(b" ".join(raw[at[a][0] : at[z - 1][1]] for a, z in stays))
                 new = {"kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "removed_spans": pa.array(spans, target.field("removed_spans").type)}
                 yield pa.RecordBatch.from_arrays([new[f.name] if f.name in new else b.column(f.name).cast(f.type) for f in target], schema=target)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 20, text: str = "text", doc_id: str = "doc_id", spacing: bool = False, ranges: int | None = None) -> DataFrame:
     """``docs`` without its text column, plus kept_text, n_words, n_removed and removed_spans.
 
-    kept_text joins the kept words by one space; removed_spans are maximal word
-    intervals [from, to). Columns of these four names in ``docs`` are replaced.
+    kept_text joins the kept words by one space; with ``spacing`` it keeps the text's own white
+    space (all of it where nothing goes) and puts one space where words went. removed_spans are
+    maximal word intervals [from, to). ``ranges`` is the number of hash ranges and of document
+    buckets, by default one for each 8 MB of input. Columns of these four names in ``docs`` are replaced.
     """
     own = ["kept_text", "n_words", "n_removed", "removed_spans"]
     rest = [c for c in docs.columns if c not in {*own, text}]
-    n = C.partitions(docs.select(text), 8)
+    n = ranges or C.partitions(docs.select(text), 8)
     rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text).cast("string").alias("_q_text"), C.key_of(doc_id).alias("_q_key"), F.lit(None).cast("binary").alias("_q_blob"))
     rows = rows.withColumn("_q_bucket", C.id_bucket_col("_q_key", n))
     marks = repeats(docs, n, width, text, doc_id).select(*[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in rest], F.lit(None).cast("string").alias("_q_text"), F.lit(None).cast("long").alias("_q_key"), F.col("blob").alias("_q_blob"), F.col("bucket").alias("_q_bucket"))
     met = rows.union(marks).repartitionById(n, F.col("_q_bucket")).withColumn("_q_doc", F.col("_q_blob").isNull()).sortWithinPartitions("_q_doc").drop("_q_bucket", "_q_doc")
     schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in rest] + list(T._parse_datatype_string("kept_text string, n_words long, n_removed long, removed_spans array<struct<`from`:int,`to`:int>>")))
-    return met.mapInArrow(C.tidy(_cut(width, schema)), schema)
+    return met.mapInArrow(C.tidy(_cut(width, schema, spacing)), schema)
