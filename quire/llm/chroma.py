@@ -268,6 +268,7 @@ def aligned(prints: DataFrame, most_error: float = 0.15, least_overlap: int = 24
     class_id is the smallest id with the same fingerprint, component_id the smallest reachable over
     links; n_links counts the links of the recording's class with other classes.
     """
+    prints = C.written(prints)  # read twice below; recordings are rendered and fingerprinted once
     named = prints.withColumn("h", F.xxhash64("print")).withColumn("h2", F.hash("print"))
     classes = named.where("size(print) > 0").groupBy("h", "h2").agg(F.min("id").alias("rep"))
     full = C.written(named.join(classes, ["h", "h2"], "left").select("id", "print", F.coalesce("rep", "id").alias("rep")))
