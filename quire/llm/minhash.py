@@ -287,12 +287,13 @@ def through_centres(tested: DataFrame, labels: DataFrame, num: int, den: int) ->
     return full.where(f"{den} * (nx + ny - far) >= {num} * (nx + ny + far)").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 100, bins: int = 512, rows: int = 8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 100, bins: int = 512, rows: int = 8, text: str = "text", doc_id: str = "doc_id", ranges: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, kept), a row for each row of ``docs``.
 
     class_id is the smallest id with the same shingle set, component_id the
     smallest id reachable over links of similarity >= num / den; kept marks the
-    one document of a component that stays.
+    one document of a component that stays. ``ranges`` is the number of ranges that
+    band keys are dealt into, by default one for each 8 MB of sketches.
     """
     source = docs.select(C.key_of(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
     sketches = C.written(source.mapInArrow(C.tidy(_sketch(width, bins, rows)), SKETCH))
@@ -300,14 +301,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 1
     classes = C.written(sketches.where("n > 0").groupBy("s1", "s2").agg(F.min("doc").alias("rep")))
     named = C.written(sketches.select("doc", "n", "s1", "s2").join(classes, ["s1", "s2"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")))
     reps = sketches.where("n > 0").join(classes.select(F.col("rep").alias("doc"), "s1", "s2"), ["s1", "s2", "doc"], "left_semi").select("doc", "n", "bands")
-    n = C.partitions(sketches.select("bands"), 8)
+    n = ranges or C.partitions(sketches.select("bands"), 8)
     sent = reps.mapInArrow(C.tidy(_collect(n)), "bucket int, key long, doc long, n long, blob binary")
     members = C.written(sent.repartitionById(n, F.col("bucket")).mapInArrow(C.tidy(_meet), "key long, doc long, n long"))
     pairs = C.written(stars(members))
     texts = source.where("text is not null")
-    if _repeated(sketches):  # of rows that share an id any one stands for it
+    if _repeated(sketches):  # of rows that share an id the first text in code-point order stands for it
         ids = pairs.selectExpr("a as doc").union(pairs.selectExpr("c")).distinct()
-        texts = texts.join(ids, "doc", "left_semi").dropDuplicates(["doc"])
+        texts = texts.join(ids, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
     tested = C.written(confirmed(pairs, texts, width, num, den))
     links = tested.where("linked").selectExpr("a", "c as b")
     labels = components(links)
