@@ -30,11 +30,21 @@ _LETTER_BASE = _M(0xD6E8FEB86659FD93)
 _own: dict[str, str] = {}
 
 
+def _base(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, or the folder the session's context has for checkpoints; on a local master
+    alone (tests) a temporary one, which executors of a cluster wouldn't share."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own.get(sc.applicationId) or _own.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="quire-"))
+    return base.rstrip("/")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    app = spark.sparkContext.applicationId
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault(app, tempfile.mkdtemp(prefix="quire-"))
-    return f"{base.rstrip('/')}/quire-{app}/{uuid.uuid4().hex}"
+    """A new folder for one table, shared by the driver and all executors."""
+    return f"{_base(spark)}/quire-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
@@ -47,18 +57,25 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
 def cleanup(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; results that haven't been read out yet go with them."""
-    app = spark.sparkContext.applicationId
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own.get(app)
-    if base:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/quire-{app}")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{_base(spark)}/quire-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(df: DataFrame, mb: float) -> int:
-    """Partitions of about ``mb`` MB of ``df``'s estimated size, never fewer than spark.sql.shuffle.partitions."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return least if size > 2**53 else max(least, math.ceil(size / (mb * 2**20)))
+    """Partitions of about ``mb`` MB of ``df``'s estimated size, never fewer than spark.sql.shuffle.partitions.
+
+    Estimates of joins multiply those of their sides, so the size counts as that of all tables read at most; a
+    table of unknown size (rows from the driver or an RDD) counts by its partitions, of ``mb`` each.
+    """
+    plan, unknown = df._jdf.queryExecution().optimizedPlan(), 2**53
+    sizes = [int(str(plan.stats().sizeInBytes()))]
+    leaves = plan.collectLeaves()
+    read = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if any(x > unknown for x in read):
+        sizes = [math.ceil(df.rdd.getNumPartitions() * mb * 2**20)]
+    else:
+        sizes.append(sum(read))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(min(sizes) / (mb * 2**20)))
 
 
 def key_of(c: str | Column) -> Column:
