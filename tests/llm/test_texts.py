@@ -220,6 +220,16 @@ def test_trigger_lets_every_pattern_pass():
         "apache_named": ["Distributed under the Apache Software License 2.0"],
         "mpl_named": ["Subject to the Mozilla Public License 2.0"],
         "bsd_named": ["Governed by a 3-clause BSD license"],
+        "epl_named": ["Available under the Eclipse Public License 2.0"],
+        "boost_named": ["Distributed under the Boost Software License, Version 1.0"],
+        "isc_named": ["Licensed under the ISC license"],
+        "zlib_named": ["Provided under the zlib/libpng License"],
+        "isc_grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+        "zlib_grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications"],
+        "zlib_origin": ["1. The origin of this software must not be misrepresented"],
+        "boost_grant": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation"],
+        "unlicense": ["This is free and unencumbered software released into the public domain"],
+        "cc0_waiver": ["To the extent possible under law, X has waived all copyright and related or neighboring rights"],
         "mit_grant": ["Permission  is hereby granted, free of charge, to any person obtaining a copy"],
         "mit_notice": ["The above copyright notice and this permission notice shall be included in all copies"],
         "as_is": ["The software is provided AS-IS", "This software is provided by X 'as  is'"],
@@ -239,7 +249,58 @@ def test_trigger_lets_every_pattern_pass():
         for t in texts:
             assert TRIGGER.search(t) and dict(L._PATTERNS)[name].search(sentences(t)[0][0]), t
     names = [[f["name"] for f in scan_text(t)] for t in (*alone["cc"][:2], *alone["gpl_named"][:2])]
-    assert names == [["CC-BY-SA-4.0"], ["CC-ATTRIBUTION-4.0"], ["GPL-3-or-later"], ["AGPL"]]
+    assert names == [["CC-BY-SA-4.0"], ["CC-BY-4.0"], ["GPL-3-or-later"], ["AGPL"]]
+
+
+def test_named_licences():
+    from quire.llm.license import scan_text
+
+    for text, name in (
+        ("Released under CC BY 4.0.", "CC-BY-4.0"), ("This dataset is released under Creative Commons Attribution 4.0.", "CC-BY-4.0"), ("Under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 licence", "CC-BY-NC-SA-3.0"),
+        ("Available under CC0 1.0", "CC0-1.0"), ("This code is released under the GPL version 3 or later.", "GPL-3-or-later"), ("Distributed under the terms of GPL v2.", "GPL-2"), ("Available under the terms of the LGPL.", "LGPL"),
+        ("Licensed under the GNU GPL v3.", "GPL-3"), ("under the GNU Library General Public License, version 2.1 or any later version", "LGPL-2.1-or-later"), ("Licensed under the 3-Clause BSD License", "BSD-3-Clause"), ("Licensed under the BSD 2-Clause License", "BSD-2-Clause"),
+        ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"), ("under the Eclipse Public License v2.0", "EPL-2.0"),
+        ('Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that it stays.\n\nTHE SOFTWARE IS PROVIDED "AS IS".', "ISC"),
+        ("This software is provided 'as-is'. In no event will the authors be liable. Permission is granted to anyone to use this software for any purpose, including commercial applications. 1. The origin of this software must not be misrepresented.", "Zlib"),
+        ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ):
+        assert [f["name"] for f in scan_text(f"Some text.\n\n{text}\n\nmore")] == [name], text
+
+
+def test_licences_against_brute_force(spark):
+    """Texts put together from known sentences: all rules tried at all places of the known identifiers."""
+    from quire.llm.license import _WEAK, RULES, scan
+
+    said = {
+        "mit_grant": "Permission is hereby granted, free of charge, to any person obtaining a copy.", "mit_notice": "The above copyright notice and this permission notice shall be included in all copies.", "as_is": 'The software is provided "as is".',
+        "bsd_grant": "Redistribution and use in source and binary forms, with or without modification, are permitted.", "bsd_source": "Redistributions of source code must retain the above copyright notice.",
+        "bsd_binary": "Redistributions in binary form must reproduce the above copyright notice.", "bsd_endorse": "Neither the name of X.", "apache_comply": "You may not use this file except in compliance with the License.", "reserved": "All rights reserved.",
+        "copyright": "Copyright (c) 2020 X.", "gpl_warranty": "This program is distributed in the hope that it will be useful.", "zlib_grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications.", None: "Plain words stand here.",
+    }
+    rng, rows, expected = random.Random(12), [], {}
+    for i in range(300):
+        ids = [rng.choice([*said, "mit_grant", "mit_notice", None]) for _ in range(rng.randrange(0, 9))]
+        rows.append((i, " ".join(said[x] for x in ids)))
+        out, at = [], 0
+        while at < len(ids):
+            fits = []
+            for name, want in RULES:
+                for skips in range(2 ** (len(want) - 1)):  # one unknown sentence or none before each but the first
+                    line = [want[0]]
+                    for k, w in enumerate(want[1:]):
+                        line += [None, w] if skips >> k & 1 else [w]
+                    if ids[at : at + len(line)] == line:
+                        fits.append((len(want), len(line), name, want))
+            if fits:
+                _, n, name, want = max(fits, key=lambda f: f[0])
+                out.append((name, list(want)))
+                at += n
+            else:
+                out += [("UNKNOWN", [ids[at]])] if ids[at] is not None and ids[at] not in _WEAK else []
+                at += 1
+        expected[i] = out
+    got = {r.doc_id: [(f["name"], f["sentences"]) for f in r.found] for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == expected and sum(n != "UNKNOWN" for x in expected.values() for n, _ in x) > 80
 
 
 def test_wrapped_licences():
@@ -326,5 +387,15 @@ def test_words_agree(spark):
 def test_sha(spark):
     from quire.llm.queries import op2_substring_dedup
 
-    assert op2_substring_dedup(spark, "/root/testdata/sf0.001").where("n_words = 0").count() >= 0
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    kept = {i: k for i, _, _, k in brute_repeats(list(docs.items()))}
+    got = {r.doc_id: r.kept_sha256 for r in op2_substring_dedup(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {i: hashlib.sha256(k.encode()).hexdigest() for i, k in kept.items()}
+
+
+def test_substring_spacing(spark):
+    from quire.llm.substring import remove_repeats
+
+    rows = [(1, " a  b\tc d\ne "), (2, "x\n a b c  d  e \ny\tz"), (3, None), (4, "\n"), (5, "a b c d")]
+    got = {r.doc_id: r.kept_text for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), width=4, spacing=True).collect()}
+    assert got == {1: " a  b\tc d\ne ", 2: "x y\tz", 3: "", 4: "\n", 5: ""}
