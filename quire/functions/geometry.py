@@ -69,7 +69,7 @@ def same_line(a: Column, b: Column) -> Column:
 def x_aligned(a: Column, b: Column) -> Column:
     """GEO-4: horizontal overlap beyond 0.55 of the narrower width."""
     narrow = F.least(width(a), width(b))
-    return F.when(narrow > 0, x_overlap(a, b) / narrow > 0.55).otherwise(False)
+    return F.when(narrow > 0, x_overlap(a, b) / F.nullif(narrow, F.lit(0.0)) > 0.55).otherwise(False)
 
 
 def centre_in(r: Column, region: Column) -> Column:
@@ -105,7 +105,7 @@ def cut_out(r: Column, regions: Column, ignore: float = 0.5, sliver: float = 0.2
 
 def covered_share(r: Column, rects: Column, full: float = 0.8) -> Column:
     """GEO-9: common areas added up (overlaps count twice) over the area; 1 from ``full`` on and for empty r."""
-    total = F.aggregate(rects, F.lit(0.0), lambda acc, q: acc + common_area(r, q)) / area(r)
+    total = F.aggregate(rects, F.lit(0.0), lambda acc, q: acc + common_area(r, q)) / F.nullif(area(r), F.lit(0.0))
     return F.when(area(r) <= 0, F.lit(1.0)).when(total >= full, F.lit(1.0)).otherwise(total)
 
 

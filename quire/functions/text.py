@@ -112,9 +112,9 @@ def is_cjk(t: Column) -> Column:
 
 
 def english_sentence(t: Column) -> Column:
-    """FLT-25: five words or more, letters of 0.6, a word of three letters."""
+    """FLT-25: five words or more, letters of 0.6 of the whole length, white space included, and a word of three letters."""
     words = F.regexp_extract_all(t, F.lit("[A-Za-z][A-Za-z\\-']+"), F.lit(0))
-    return (F.size(words) >= 5) & (share_of(t, "\\p{L}") >= 0.6) & F.exists(words, lambda w: F.length(w) >= 3)
+    return (F.size(words) >= 5) & (count_of(t, "\\p{L}") / F.greatest(F.length(t), F.lit(1)) >= 0.6) & F.exists(words, lambda w: F.length(w) >= 3)
 
 
 def cites(t: Column) -> Column:
@@ -133,13 +133,13 @@ def figure_text(r_width: Column, t: Column, n_lines: Column, kind: Column, regio
 
 
 def join_lines(lines: Column) -> Column:
-    """STR-2: lines to one text; a hyphen before a lower-case start goes, with the line end."""
+    """STR-2: lines to one text; a hyphen before a lower-case start goes, with the line end. A null line is empty."""
 
-    def step(acc: Column, x: Column) -> Column:
-        joins = acc.endswith("-") & x.rlike("^\\p{Ll}")
-        return F.when(acc.isNull(), x).when(joins, F.concat(F.substr(acc, F.lit(1), F.length(acc) - 1), x)).otherwise(F.concat(acc, F.lit(" "), x))
+    def part(x: Column, i: Column) -> Column:
+        x, after = F.coalesce(x, F.lit("")), F.coalesce(F.get(lines, i + 1), F.lit(""))
+        return F.when(x.endswith("-") & after.rlike("^\\p{Ll}"), F.substr(x, F.lit(1), F.length(x) - 1)).otherwise(F.concat(x, F.lit(" ")))
 
-    return collapse(F.coalesce(F.aggregate(lines, F.lit(None).cast("string"), step), F.lit("")))
+    return collapse(F.array_join(F.transform(lines, part), ""))
 
 
 def marked_text(tokens: Column) -> Column:

@@ -86,7 +86,7 @@ _WORDS = "list_filter(string_split(trim(regexp_replace(line, '\\s+', ' ', 'g')),
     SELECT doc_id, ln, length(solid) >= 6 AND digits / greatest(length(solid), 1) >= 0.30 AND coalesce(wlen, 0) / greatest(len(words), 1) <= 7.0 AND (CASE WHEN len(words) >= 2 AND nd >= 1 THEN 1 ELSE 0 END) >= 1 AS numeric,
         NOT regexp_matches(line, '[一-鿿]') AND {_count_sql("line", "\\p{L}")} / greatest(length(line), 1) < 0.6 AS skip,
         length(line) <= 110 AND (regexp_matches(trim(line), '^(I{{1,3}}|IV|VI{{0,3}}|IX|XI{{0,3}})\\.\\s*[A-Z]') OR regexp_matches(trim(line), '^\\d{{1,2}}(\\.\\d{{1,2}}){{0,2}}\\.\\s+[A-Z][a-z]') OR regexp_matches(trim(line), '^[A-Z]\\.\\s+[A-Z]') OR regexp_matches(trim(line), '(?i)^({X.HEADING_WORDS})\\b')) AS heading,
-        len(en) >= 5 AND CASE WHEN length(solid) > 0 THEN letters / length(solid) ELSE 0 END >= 0.6 AND len(list_filter(en, lambda w: length(w) >= 3)) > 0 AS english,
+        len(en) >= 5 AND {_count_sql("line", "\\p{L}")} / greatest(length(line), 1) >= 0.6 AND len(list_filter(en, lambda w: length(w) >= 3)) > 0 AS english,
         CASE WHEN length(solid) > 0 THEN {_count_sql("solid", "[一-鿿]")} / length(solid) ELSE 0.0 END AS cjk FROM f""")
 def line_features(spark, sf_dir):
     """FLT-7, FLT-14, FLT-15, FLT-25, FLT-26 of every line."""
