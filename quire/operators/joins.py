@@ -92,7 +92,7 @@ def overlap_pairs(lines: DataFrame, least: float = 0.75, ahead: int = 7, stop: b
     """JOIN-9, and JOIN-10 with ``stop`` false: lines of a page that lie too close under each other.
 
     In the order of (base, x0) a line meets the next ``ahead`` ones up to a pitch of 60 that overlap it by
-    more than 6; ratio is pitch over the smaller size. With ``stop``, a line whose successor has a pitch
+    more than 6; ratio is pitch over the smaller size, 9 if that is 0. With ``stop``, a line whose successor has a pitch
     of 0.5 or less meets none (pitches don't fall along the order, so only the first can end the scan);
     without, such neighbours are passed over, and all later lines count.
     """
@@ -104,8 +104,11 @@ def overlap_pairs(lines: DataFrame, least: float = 0.75, ahead: int = 7, stop: b
         a = a.where("a_next - a_base > 0.5").withColumn("b_rn", F.explode(F.sequence(F.col("a_rn") + 1, F.col("a_rn") + ahead)))
         met = a.join(b, [*PAGE, "b_rn"])
     else:
-        met = a.join(b, PAGE).where("b_rn > a_rn and b_base - a_base > 0.5")
-    met = met.where("b_base - a_base <= 60 and least(a_x1, b_x1) - greatest(a_x0, b_x0) > 6").withColumn("ratio", F.expr("(b_base - a_base) / least(a_size, b_size)"))
+        # lines within 60 lie in the same band of 60 or in the next one
+        band = F.floor(F.col("base") / 60)
+        near = r.select(*PAGE, "rn", F.explode(F.array(band, band + 1)).alias("band")).withColumnRenamed("rn", "a_rn")
+        met = a.join(near, [*PAGE, "a_rn"]).join(b.withColumn("band", F.floor(F.col("b_base") / 60)), [*PAGE, "band"]).where("b_rn > a_rn and b_base - a_base > 0.5")
+    met = met.where("b_base - a_base <= 60 and least(a_x1, b_x1) - greatest(a_x0, b_x0) > 6").withColumn("ratio", F.expr("if(least(a_size, b_size) = 0, 9.0D, (b_base - a_base) / nullif(least(a_size, b_size), 0))"))
     out = met.where(F.col("ratio") < least)
     return out.select(*PAGE, F.col("a_ln").alias("a"), F.col("b_ln").alias("b"), "ratio", F.substring("a_line", 1, 32).alias("p"), F.substring("b_line", 1, 32).alias("q"))
 
