@@ -122,8 +122,26 @@ def whitelisted(wanted: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def write_ledger(jobs: DataFrame, path: str, last: int = 200) -> None:
-    """SNK-6: the last jobs as one JSON document's rows; Spark's committer makes the change whole or not at all."""
-    jobs.orderBy(F.desc("seq")).limit(last).coalesce(1).write.mode("overwrite").json(path)
+    """SNK-6: the last jobs in the order of ``seq`` as one JSON document {version, jobs} that read_ledger reads.
+
+    It is written beside the old one and then takes its place, so readers see the one or the other.
+    """
+    spark = jobs.sparkSession
+    fields = [f.split()[0] for f in _fields(JOB)]
+    keep = jobs.orderBy(F.desc("seq")).limit(last)
+    rows = F.array_sort(F.collect_list(F.struct("seq", F.struct(*[c for c in fields if c in jobs.columns]).alias("j"))))
+    document = keep.agg(F.to_json(F.struct(F.lit(1).alias("version"), F.transform(rows, lambda x: x["j"]).alias("jobs"))).alias("value"))
+    beside = f"{path}.tmp"
+    document.coalesce(1).write.mode("overwrite").text(beside)
+    jvm = spark._jvm
+    new = jvm.org.apache.hadoop.fs.Path(beside)
+    fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(new) if f.getPath().getName().startswith("part-"))
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(context.makeQualified(part), context.makeQualified(jvm.org.apache.hadoop.fs.Path(path)), options)
+    fs.delete(new, True)
 
 
 def write_progress(records: DataFrame, path: str, checkpoint: str, seconds: float = 0.5):
