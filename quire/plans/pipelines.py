@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -44,14 +46,25 @@ class Translated:
     stats: DataFrame
 
 
-def translate(lines: DataFrame, send: M.Transport = M.replay, appendix: bool = False) -> Translated:
-    """Paragraphs, batches, answers and one sweep over what failed, then the text outputs."""
+def translate(lines: DataFrame, send: M.Transport = M.replay, appendix: bool = False, folder: str | None = None) -> Translated:
+    """Paragraphs, batches, answers and sweeps over what failed, then the text outputs.
+
+    Every batch is sent once (and once more in each sweep that it needs): answers are written under ``folder``, by
+    default a new one beside the session's checkpoints, before anything reads them.
+    """
+    spark = lines.sparkSession
+    if folder is None:
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir, or give a folder that the driver and all executors share")
+        folder = f"{(base or tempfile.mkdtemp(prefix='quire-')).rstrip('/')}/answers-{uuid.uuid4().hex}"
     p = with_flags(paragraphs_of(lines), appendix)
     # one number for each paragraph of a document, so that batches run over page ends
-    p = p.withColumn("_no", F.col("pno") * 100_000 + F.col("seq"))
-    wanted = p.where("translatable").select("doc_id", F.col("_no").alias("seq"), "text", "is_heading")
-    batched = D.batched(wanted)
-    results = M.sweep(batched, M.translate(M.as_batches(batched), send), send)
+    p = p.withColumn("_no", F.col("pno").cast("long") * 100_000 + F.col("seq"))
+    wanted = p.where("translatable").select("doc_id", F.col("_no").cast("int").alias("seq"), "text", "is_heading")
+    batched = M.kept(D.batched(wanted), f"{folder}/batches")
+    answers = M.kept(M.translate(M.as_batches(batched), send), f"{folder}/answers")
+    results = M.kept(M.sweep(batched, answers, send, folder), f"{folder}/results")
     t = results.select("doc_id", F.col("seq").alias("_no"), normal_column(F.col("text")).alias("text"))
     joined = J.with_translations(p, t, keys=["doc_id", "_no"])
     dump = J.dump(p.withColumnRenamed("is_heading", "heading").select("doc_id", "pno", "seq", "_no", "x0", "y0", "x1", "y1", "heading", "text"), t, ["doc_id", "_no"])

@@ -102,33 +102,79 @@ def ask(texts: list[str], send: Transport, wait: Callable[[float], None] = time.
 RESULT = "doc_id long, seq int, text string, error string"
 
 
-def translate(batches: DataFrame, send: Transport, wait: Callable[[float], None] = time.sleep) -> DataFrame:
-    """A row for each item of ``batches`` (doc_id, batch_no, items array<struct<seq,text>>); null text where it failed."""
-
+def _sent(batches: DataFrame, answer: Callable[[list[str]], tuple[dict[int, str], str | None]]) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for b in frame.itertuples(index=False):
-                got, error = ask([i["text"] for i in b.items], send, wait)
+                got, error = answer([i["text"] for i in b.items])
                 out += [(b.doc_id, i["seq"], got.get(k) or None, None if got.get(k) else error) for k, i in enumerate(b.items, 1)]
             yield pd.DataFrame(out, columns=["doc_id", "seq", "text", "error"])
 
     return batches.mapInPandas(run, RESULT)
 
 
+def translate(batches: DataFrame, send: Transport, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """A row for each item of ``batches`` (doc_id, batch_no, items array<struct<seq,text>>); null text where it failed.
+
+    The table is lazy: whoever uses it more than once writes it first (``kept``).
+    """
+    return _sent(batches, lambda texts: ask(texts, send, wait))
+
+
 def as_batches(paragraphs: DataFrame) -> DataFrame:
     """Paragraphs with batch_no to one row a batch."""
     return paragraphs.groupBy("doc_id", "batch_no").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("items"))
 
 
-def sweep(paragraphs: DataFrame, results: DataFrame, send: Transport, wait: Callable[[float], None] = time.sleep) -> DataFrame:
-    """STM-7: batches with a missing paragraph go once more; what had come stays where nothing new does."""
-    failed = results.where("text is null").select("doc_id", "seq")
-    units = paragraphs.join(failed, ["doc_id", "seq"], "left_semi").select("doc_id", "batch_no").distinct()
-    again = translate(as_batches(paragraphs.join(units, ["doc_id", "batch_no"], "left_semi")), send, wait)
-    new = again.where("text is not null").select("doc_id", "seq", F.col("text").alias("new"))
-    joined = results.join(new, ["doc_id", "seq"], "left")
-    return joined.select("doc_id", "seq", F.coalesce("text", "new").alias("text"), F.when(F.coalesce("text", "new").isNull(), F.col("error")).alias("error"))
+def kept(results: DataFrame, path: str) -> DataFrame:
+    """Answers written once and read back: a lazy table of requests would send them again for each use."""
+    results.write.mode("errorifexists").parquet(path)
+    return results.sparkSession.read.schema(results.schema).parquet(path)
+
+
+def once(texts: list[str], send: Transport) -> tuple[dict[int, str], str | None]:
+    """One strict try: all numbers, and an answer that wasn't cut, or nothing."""
+    try:
+        status, content, finish = send("\n".join(f"{i}. {t}" for i, t in enumerate(texts, 1)))
+    except Exception as e:  # a transport may raise anything; the batch then counts as failed
+        return {}, str(e)
+    got = numbered(content) if status == 200 and finish not in ("length", "max_tokens") else {}
+    full = all(i in got for i in range(1, len(texts) + 1))
+    return (got, None) if full else ({}, f"HTTP {status}")
+
+
+def sweep(paragraphs: DataFrame, results: DataFrame, send: Transport, folder: str, rounds: int = 2, budget: float = 420.0, clock: Callable[[], float] = time.monotonic, gate: Callable[[], object] | None = None) -> DataFrame:
+    """STM-7: batches with a missing paragraph go once more, in up to two rounds within a time budget.
+
+    Each round sends every such batch once, after ``gate`` (STM-8); it writes its answers under ``folder``, so that
+    none is sent twice, and what had come stays where nothing new does. A permanent error ends the sweep.
+    """
+    end = clock() + budget
+    for k in range(rounds):
+        failed = results.where("text is null")
+        if failed.limit(1).isEmpty() or clock() > end or not failed.where(F.col("error").rlike("^HTTP (400|401|403|404|422)$")).limit(1).isEmpty():
+            break
+        if gate:
+            gate()
+        units = paragraphs.join(failed.select("doc_id", "seq"), ["doc_id", "seq"], "left_semi").select("doc_id", "batch_no").distinct()
+        left = max(0.0, end - clock())
+        again = kept(_sent(as_batches(paragraphs.join(units, ["doc_id", "batch_no"], "left_semi")), _within(send, left)), f"{folder}/sweep-{k + 1}")
+        new = again.where("text is not null").select("doc_id", "seq", F.col("text").alias("new"))
+        joined = results.join(new, ["doc_id", "seq"], "left")
+        results = joined.select("doc_id", "seq", F.coalesce("new", "text").alias("text"), F.when(F.coalesce("new", "text").isNull(), F.col("error")).alias("error"))
+    return results
+
+
+def _within(send: Transport, seconds: float) -> Callable[[list[str]], tuple[dict[int, str], str | None]]:
+    """One try a batch, none after ``seconds`` in a task."""
+    start: list[float] = []
+
+    def run(texts: list[str]) -> tuple[dict[int, str], str | None]:
+        start.append(time.monotonic())
+        return once(texts, send) if time.monotonic() - start[0] <= seconds else ({}, "out of time")
+
+    return run
 
 
 def wait_until_serving(send: Transport, most: float = 240.0, pause: float = 5.0, clock: Callable[[], float] = time.monotonic, wait: Callable[[float], None] = time.sleep) -> bool:
