@@ -2,8 +2,8 @@
 
 A running job ends by the first rule that holds:
 1. its time is over; 2. no progress within 120 s of its start; 3. a result came;
-5. its process is dead and its last record older than 60 s. Rule 4 is the other
-case: the share moves on. Liveness is a column of the records, as processes
+4. its process is dead and its last record older than 60 s. Otherwise the share
+moves on. Liveness is a column of the records, as processes
 can't be signalled from executors.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -84,9 +84,7 @@ def settle(jobs: DataFrame, records: DataFrame, now: Column) -> DataFrame:
 
     Takes each job's last record and its last result; the share is folded over all records in order.
     """
-    w = Window.partitionBy("job_id")
-    r = records.withColumn("_last", F.row_number().over(w.orderBy(F.desc("ts"))))
-    last = r.where("_last = 1").select("job_id", "alive", F.col("ts").alias("last_ts"))
+    last = records.groupBy("job_id").agg(F.max_by(F.coalesce("alive", F.lit(True)), "ts").alias("alive"), F.max("ts").alias("last_ts"))
     result = records.where("ok is not null").groupBy("job_id").agg(F.max_by("ok", "ts").alias("ok"), F.max_by("error", "ts").alias("result_error"))
     steps = records.where("stage is not null").groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ts", "stage", "done", "total"))).alias("steps"))
     folded = steps.select("job_id", F.aggregate("steps", F.lit(0.0), lambda a, s: stage_share(s["stage"], s["done"], s["total"], a)).alias("share"))
