@@ -19,8 +19,9 @@ examples' own votes turns votes into scores.
 
 Bounds (documented parameters): at most ``per_class`` labelled examples of each
 class, chosen by a hash of their id, and of these the first whose stems add up to
-half of ``most_postings``. The index (16 bytes a posting and at most 20 a group)
-and the 2**20 document frequencies are all that is sent to executors. Everything
+half of ``most_postings``. The index (at most 48 bytes a posting, and where it is used 8
+for each example and full column) and the 2**20 document frequencies are all that is
+sent to executors. Everything
 else reads all documents.
 
 Edge cases: null texts, and texts without letters or without a neighbour, get the
@@ -92,71 +93,110 @@ def _spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Examples in blocks: per term its groups (one a block: largest weight, postings), per group its postings."""
+    """Examples in blocks: per term its groups (one a block: largest weight, postings), per group its postings.
 
-    def __init__(self, vectors, y: np.ndarray, weight: np.ndarray, names: np.ndarray, block: int = 128, same: np.ndarray | None = None):
+    The postings of terms that more than one example in sixteen has, at most ``columns`` terms, are laid out as
+    full columns, so that a block's cosines over them are one matrix product for many queries.
+    """
+
+    def __init__(self, vectors, y: np.ndarray, weight: np.ndarray, names: np.ndarray, block: int = 64, same: np.ndarray | None = None, columns: int = 512):
         """``vectors``: (terms, weights) of each example, or a matrix with a row for each; ``same``: hashes of their texts."""
         if isinstance(vectors, np.ndarray):
             vectors = [(np.flatnonzero(v), v[np.flatnonzero(v)]) for v in vectors]
         terms, weights = (np.concatenate([np.zeros(0, kind), *(v[j] for v in vectors)]) for j, kind in ((0, np.int64), (1, np.float64)))
         size = np.array([len(v[0]) for v in vectors], np.int64)
-        n = len(size)
-        same = names if same is None else same
+        self.n, self.block, self.blocks = len(size), block, -(-len(size) // block)
         start = np.cumsum(size) - size
         heavy = np.array([terms[s + int(np.argmax(weights[s : s + k]))] if k else -1 for s, k in zip(start.tolist(), size.tolist(), strict=True)], np.int64)
         # neighbours in a block share their heaviest term or are alike in length, which keeps the maxima tight
         order = np.lexsort((names, size, heavy))
-        self.y, self.weight, self.names, self.same = y[order], weight[order], names[order], same[order]
-        row = np.repeat(np.arange(n), size[order])
+        self.y, self.weight, self.names = y[order], weight[order], names[order]
+        same = (names if same is None else same)[order]
+        self.by_same = np.argsort(same, kind="stable")
+        self.same = same[self.by_same]
+        row = np.repeat(np.arange(self.n), size[order])
         at = _spans(start[order], size[order])
-        term, x = terms[at], weights[at]
+        self.terms, term, count = np.unique(terms[at], return_inverse=True, return_counts=True)
+        x = weights[at]
+        often = np.argsort(-count, kind="stable")[:columns]
+        often = often[count[often] * 16 > self.n]
+        self.column = np.full(len(self.terms), -1)
+        self.column[often] = np.arange(len(often))
+        wide = self.column[term] >= 0
+        self.wide = row[wide].astype(np.int32), self.column[term[wide]].astype(np.int32), x[wide], len(often)
+        self.full = None
+        row, term, x = row[~wide], term[~wide], x[~wide]
         by = np.lexsort((row, term))
-        term, row, self.x = term[by], row[by], x[by]
-        self.row = row.astype(np.int64)
+        self.row, term, self.x = row[by], term[by], x[by]
         new = np.ones(len(term), bool)
-        new[1:] = (term[1:] != term[:-1]) | (row[1:] // block != row[:-1] // block)
+        new[1:] = (term[1:] != term[:-1]) | (self.row[1:] // block != self.row[:-1] // block)
         self.group_at = np.flatnonzero(new)
         self.group_size = np.diff(np.append(self.group_at, len(term)))
         self.group_max = np.maximum.reduceat(self.x, self.group_at) if len(term) else self.x
-        self.group_block = row[self.group_at] // block
-        self.terms, self.term_at = np.unique(term[self.group_at], return_index=True)
-        self.term_size = np.diff(np.append(self.term_at, len(self.group_at)))
-        self.blocks = -(-n // block)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, same: int | None = None, first: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the k nearest with a positive cosine, and the cosines; ties go to the smaller id."""
+        self.group_block = self.row[self.group_at] // block
+        self.term_at, end = (np.searchsorted(term[self.group_at], np.arange(len(self.terms)), side) for side in ("left", "right"))
+        self.term_size = end - self.term_at
+
+    def _columns(self) -> tuple[np.ndarray, np.ndarray]:
+        """The full columns and their maxima in each block; made where they are used, not sent."""
+        if self.full is None:
+            row, column, x, n = self.wide
+            full = np.zeros((self.n, n))
+            full[row, column] = x
+            self.full = full, np.maximum.reduceat(full, np.arange(0, self.n, self.block), axis=0)
+        return self.full
+
+    def nearest_all(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, sames: list[int | None], first: int = 4) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, weights) the rows of its k nearest with a positive cosine, and the cosines; ties go
+        to the smaller id. Examples whose text hash is the query's of ``sames`` don't count."""
         if not len(self.terms):
-            return np.zeros(0, np.int64), np.zeros(0)
-        at = np.searchsorted(self.terms, terms)
-        known = self.terms[np.minimum(at, len(self.terms) - 1)] == terms
-        at, weights = at[known], weights[known]
-        n = self.term_size[at]
-        group = _spans(self.term_at[at], n)
-        weight, where = np.repeat(weights, n), self.group_block[group]
-        bound = np.bincount(where, self.group_max[group] * weight, self.blocks)
-        score = np.zeros(len(self.y))
-
-        def read(wanted: np.ndarray) -> float:
-            """Add the postings of the wanted blocks; returns the k-th best cosine so far."""
-            nonlocal score
-            mine = wanted[where]
-            g = group[mine]
-            many = self.group_size[g]
-            p = _spans(self.group_at[g], many)
-            score += np.bincount(self.row[p], self.x[p] * np.repeat(weight[mine], many), len(score))
-            score[equal] = 0.0
-            return float(np.partition(score, -k)[-k]) if len(score) >= k else 0.0
-
-        equal = np.flatnonzero(self.same == same) if same is not None else np.zeros(0, np.int64)
-        head = np.zeros(self.blocks, bool)
-        head[np.argsort(-bound, kind="stable")[:first]] = True
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
+        full, top = self._columns()
+        q, bound, parts, equal = np.zeros((len(vectors), full.shape[1])), np.zeros((len(vectors), self.blocks)), [], []
+        for i, (terms, weights) in enumerate(vectors):
+            at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+            known = self.terms[at] == terms
+            at, weights = at[known], weights[known]
+            column = self.column[at]
+            q[i, column[column >= 0]] = weights[column >= 0]
+            at, weights = at[column < 0], weights[column < 0]
+            n = self.term_size[at]
+            group, weight = _spans(self.term_at[at], n), np.repeat(weights, n)
+            where = self.group_block[group]
+            bound[i] = np.bincount(where, self.group_max[group] * weight, self.blocks)
+            parts.append((group, weight, where))
+            lo, hi = (0, 0) if sames[i] is None else np.searchsorted(self.same, [sames[i], sames[i] + 1])
+            equal.append(self.by_same[lo:hi])
+        bound += q @ top.T
+        score = np.zeros((len(vectors), self.n))
+
+        def read(wanted: np.ndarray) -> np.ndarray:
+            """Add what the wanted blocks hold for each query; returns the k-th best cosines so far."""
+            for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+                who, span = np.flatnonzero(wanted[:, b]), slice(b * self.block, (b + 1) * self.block)
+                score[who, span] = q[who] @ full[span].T
+            for i, (group, weight, where) in enumerate(parts):
+                mine = wanted[i][where]
+                g = group[mine]
+                many = self.group_size[g]
+                p = _spans(self.group_at[g], many)
+                score[i] += np.bincount(self.row[p], self.x[p] * np.repeat(weight[mine], many), self.n)
+                score[i, equal[i]] = 0.0
+            return np.partition(score, -k, axis=1)[:, -k] if self.n >= k else np.zeros(len(vectors))
+
+        head = np.zeros(bound.shape, bool)
+        np.put_along_axis(head, np.argsort(-bound, axis=1, kind="stable")[:, :first], True, axis=1)
         least = read(head)
-        rest = ~head & (bound >= least - 1e-9) & (bound > 0)
-        if rest.any():
-            least = read(rest)
-        rows = np.flatnonzero(score >= max(least - 1e-12, 1e-300))
-        rows = rows[np.lexsort((self.names[rows], -np.round(score[rows], 12)))][:k]
-        return rows, score[rows]
+        least = read(~head & (bound >= least[:, None] - 1e-9) & (bound > 0))
+        out = []
+        for mine, low in zip(score, least, strict=True):
+            rows = np.flatnonzero(mine >= max(low - 1e-12, 1e-300))
+            rows = rows[np.lexsort((self.names[rows], -np.round(mine[rows], 12)))][:k]
+            out.append((rows, mine[rows]))
+        return out
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, same: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        return self.nearest_all([(terms, weights)], k, [same])[0]
 
     def vote(self, rows: np.ndarray, cosines: np.ndarray, base: float) -> float:
         w = cosines * self.weight[rows]
@@ -187,29 +227,23 @@ def platt(votes: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50)
     return max(a, 0.1), b
 
 
-def _vote(index: BlockMaxIndex, idf: np.ndarray, base: float, k: int, evidence: int):
+def _vote(index: BlockMaxIndex, idf: np.ndarray, base: float, k: int, evidence: int, together: int = 128):
     """Vote (null without a neighbour), ids and cosines of the nearest; ``doc`` passes through."""
 
     def run(batches):
         known: dict[int, tuple] = {}
         for b in batches:
-            terms, freq = b.column("terms"), b.column("freq")
-            offs = np.asarray(terms.offsets)
-            flat, many = np.asarray(terms.values), np.asarray(freq.values)
-            shift = int(np.asarray(freq.offsets)[0]) - int(offs[0]) if len(offs) else 0
-            votes, names, cosines = [], [], []
-            for i, same in enumerate(b.column("same").to_pylist()):
-                if (got := known.get(same)) is None:
-                    lo, hi = int(offs[i]), int(offs[i + 1])
-                    t, w = weigh(flat[lo:hi], many[lo + shift : hi + shift].astype(np.float64), idf)
-                    rows, s = index.nearest(t, w, k, same)
-                    got = (index.vote(rows, s, base), index.names[rows[:evidence]].tolist(), np.minimum(s[:evidence], 1.0).tolist()) if len(rows) else (None, [], [])
-                    if len(known) >= 50_000:
-                        known.clear()
-                    known[same] = got
-                votes.append(got[0])
-                names.append(got[1])
-                cosines.append(got[2])
+            if len(known) >= 50_000:
+                known.clear()
+            terms, freq, sames = b.column("terms"), b.column("freq"), b.column("same").to_pylist()
+            (offs, flat), (other, many) = ((np.asarray(c.offsets).tolist(), np.asarray(c.values)) for c in (terms, freq))
+            todo = list({s: i for i, s in enumerate(sames) if s not in known}.values())
+            for at in range(0, len(todo), together):
+                some = todo[at : at + together]
+                vectors = [weigh(flat[offs[i] : offs[i + 1]], many[other[i] : other[i + 1]].astype(np.float64), idf) for i in some]
+                for i, (rows, s) in zip(some, index.nearest_all(vectors, k, [sames[i] for i in some]), strict=True):
+                    known[sames[i]] = (index.vote(rows, s, base), index.names[rows[:evidence]].tolist(), np.minimum(s[:evidence], 1.0).tolist()) if len(rows) else (None, [], [])
+            votes, names, cosines = zip(*(known[s] for s in sames), strict=True) if sames else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(votes, pa.float64()), pa.array(names, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], ["doc", "vote", "evidence", "cosines"])
 
     return run
