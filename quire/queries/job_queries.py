@@ -137,7 +137,12 @@ def job_settle(spark, sf_dir):
     return W.settle(jobs, records, F.lit(NOW)).select("id", "status", "reason", "error")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS id, (epoch_us(ts) // 1000) AS t, CASE event_type WHEN 'view' THEN 'extract' WHEN 'click' THEN 'translate' WHEN 'purchase' THEN 'render' WHEN 'error' THEN 'ocr' END AS stage, event_id % 20 AS done FROM events),
+    s AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t, stage, done) AS k FROM e WHERE stage IS NOT NULL),
+    r AS (SELECT id, 0::BIGINT AS k, 0.0::DOUBLE AS share FROM (SELECT DISTINCT id FROM e)
+        UNION ALL SELECT r.id, s.k, CASE WHEN abs(CASE s.stage WHEN 'extract' THEN 0.03 WHEN 'render' THEN 0.95 WHEN 'translate' THEN 0.05 + 0.87 * least(1.0, s.done / 20.0) ELSE r.share END - r.share) >= 0.005 THEN CASE s.stage WHEN 'extract' THEN 0.03 WHEN 'render' THEN 0.95 WHEN 'translate' THEN 0.05 + 0.87 * least(1.0, s.done / 20.0) ELSE r.share END ELSE r.share END FROM r JOIN s ON s.id = r.id AND s.k = r.k + 1),
+    f AS (SELECT id, arg_max(share, k) AS share FROM r GROUP BY id), x AS (SELECT CAST(user_id AS VARCHAR) AS id, arg_max(event_id % 2 = 0, ts) FILTER (event_id % 97 = 0) AS ok, min(epoch_us(ts) // 1000) AS created FROM events GROUP BY user_id)
+    SELECT f.id, round(CASE WHEN x.ok THEN 1.0 ELSE share END, 6) AS progress FROM f JOIN x ON x.id = f.id""")
 def job_shares(spark, sf_dir):
     """STM-2 folded over each job's records."""
     jobs, records = _records(table(spark, sf_dir, "events"))

@@ -13,6 +13,7 @@ from quire.operators import intervals as I
 from quire.operators import joins as J
 from quire.operators import layout as L
 from quire.operators import pages as P
+from quire.operators import windows as W
 from quire.operators.relations import LAYOUT_SQL, PAGE_HEIGHT, PAGE_WIDTH, pseudo_layout, text_lines
 from quire.sources import tables as T
 
@@ -253,7 +254,10 @@ def rect_components(spark, sf_dir):
     return D.label_components(r, J.touching_pairs(r)).select("doc_id", "item", "component")
 
 
-@query()
+@query(f"""WITH {_RECT_SQL}, t AS (SELECT doc_id, CASE WHEN item % 3 = 0 THEN 'An end.' ELSE 'label' END AS text, x0 + 5 AS x0, y0 + 5 AS y0, x0 + 45 AS x1, y0 + 15 AS y1 FROM re),
+    m AS (SELECT r.doc_id, r.item, r.x0, r.y0, r.x1, r.y1, length(t.text) <= 48 AND NOT regexp_matches(t.text, '[.。！？!?；;:：]\s*$') AND t.x1 - t.x0 < 0.72 * (r.x1 - r.x0) AS label FROM re r JOIN t ON t.doc_id = r.doc_id
+        WHERE (r.x1 - r.x0) * (r.y1 - r.y0) >= 9000 AND (r.x1 - r.x0) * (r.y1 - r.y0) < 0.35 * {PAGE_WIDTH * PAGE_HEIGHT} AND greatest(least(t.x1, r.x1) - greatest(t.x0, r.x0), 0) * greatest(least(t.y1, r.y1) - greatest(t.y0, r.y0), 0) / greatest((t.x1 - t.x0) * (t.y1 - t.y0), 1e-6) >= 0.8)
+    SELECT doc_id, 0 AS pno, item, x0 AS r_x0, y0 AS r_y0, x1 AS r_x1, y1 AS r_y1 FROM m GROUP BY ALL HAVING count(*) <= 8 AND bool_and(label)""")
 def sparse_figures(spark, sf_dir):
     """JOIN-17: an order's rectangles around labels of every line, a third of which end like a sentence."""
     r = _rects(spark, sf_dir)
@@ -285,7 +289,9 @@ def covered_shares(spark, sf_dir):
     return r.join(lists, "doc_id").select("doc_id", "item", F.round(G.covered_share(F.col("r"), others), 9).alias("share"), G.covered(F.col("r"), others).alias("covered"))
 
 
-@query()
+@query(f"""WITH {_RECT_SQL}, j AS (SELECT a.doc_id, a.item, a.x0, a.y0, a.x1, a.y1, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS common, greatest(a.y0, b.y0) AS hy0, least(a.y1, b.y1) AS hy1, greatest(a.x0, b.x0) AS hx0, least(a.x1, b.x1) AS hx1 FROM re a JOIN re b ON b.doc_id = a.doc_id AND b.item = a.item - 1),
+    c AS (SELECT doc_id, item, list_filter(CASE WHEN common < 0.5 THEN [{{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}] ELSE list_filter([{{'x0': x0, 'y0': y0, 'x1': x1, 'y1': hy0}}, {{'x0': x0, 'y0': hy1, 'x1': x1, 'y1': y1}}, {{'x0': x0, 'y0': hy0, 'x1': hx0, 'y1': hy1}}, {{'x0': hx1, 'y0': hy0, 'x1': x1, 'y1': hy1}}], lambda q: q.x1 - q.x0 > 0.2 AND q.y1 - q.y0 > 0.2) END, lambda q: q.x1 - q.x0 >= 1 AND q.y1 - q.y0 >= 1) AS parts FROM j),
+    u AS (SELECT doc_id, item, unnest(range(len(parts))) AS k, unnest(parts) AS r FROM c) SELECT doc_id, item, CAST(k AS INT) AS k, r.x0 AS x0, r.y0 AS y0, r.x1 AS x1, r.y1 AS y1 FROM u""")
 def cut_out_rects(spark, sf_dir):
     """GEO-8: each rectangle without the one before it."""
     r = _rects(spark, sf_dir).select("doc_id", "item", G.rect().alias("r"))
@@ -331,11 +337,7 @@ def window_pack(spark, sf_dir):
     SELECT doc_id, ln, pitch / least(size, ns) AS ratio FROM w WHERE pitch > 0.5 AND pitch < 60 AND least(x1, nx1) - greatest(x0, nx0) > 6""")
 def pitch_ratios(spark, sf_dir):
     """WIN-3."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id", "pno").orderBy("base", "x0", "ln")
-    r = _layout(spark, sf_dir).withColumns({"pitch": F.lead("base").over(w) - F.col("base"), "nx0": F.lead("x0").over(w), "nx1": F.lead("x1").over(w), "ns": F.lead("size").over(w)})
-    return r.where("pitch > 0.5 and pitch < 60 and least(x1, nx1) - greatest(x0, nx0) > 6").select("doc_id", "ln", (F.col("pitch") / F.least("size", "ns")).alias("ratio"))
+    return W.pitch_ratios(_layout(spark, sf_dir)).select("doc_id", "ln", "ratio")
 
 
 @query(f"""WITH {LAYOUT_SQL}, m AS (SELECT doc_id, pno, CASE WHEN n = 0 THEN 0 ELSE 1 END AS k, n FROM lay), a AS (SELECT doc_id, pno, count(*) FILTER (n > 60 ) AS long_lines, count(*) FILTER (n % 9 = 0) AS odd_lines, count(*) FILTER (n % 10 < 3) AS images_src, count(*) FILTER (n % 10 < 2 OR n % 10 = 7) AS images_out FROM m GROUP BY 1, 2)
@@ -350,13 +352,32 @@ def verify_totals(spark, sf_dir):
 
 def _blocks(spark, sf_dir) -> DataFrame:
     b = P.reading_order(_layout(spark, sf_dir).where("n > 0"), PAGE_WIDTH)
-    return b.select("doc_id", F.col("pno"), F.col("ord"), "x0", "y0", "x1", "y1", "size", (F.col("n") % 29 == 0).alias("is_math"), F.array("line").alias("lines"))
-
-
-@query()
+    return b.select("doc_id", F.col("pno"), F.col("ord"), "x0", "y0", "x1", "y1", "size", (F.col("n") % 29 == 0).alias("is_math"), (F.col("n") % 31 == 0).alias("is_protected"), F.array(F.when(F.col("n") % 23 == 0, "T").otherwise(F.col("line"))).alias("lines"))
+
+
+_FLAT = "trim(regexp_replace(array_to_string({l}, ' '), '\\s+', ' ', 'g'))"
+_MERGE_SQL = f"""{LAYOUT_SQL}, sm AS (SELECT * FROM lay WHERE n > 0), oc AS (SELECT *, count(*) OVER w AS cnt, sum(CASE WHEN x0 < {PAGE_WIDTH / 2} - 10 AND x1 > {PAGE_WIDTH / 2} + 10 AND x1 - x0 < {PAGE_WIDTH} * 0.6 THEN 1 ELSE 0 END) OVER w AS straddle,
+        sum(CASE WHEN (x0 + x1) / 2 < {PAGE_WIDTH / 2} THEN 1 ELSE 0 END) OVER w AS lefts FROM sm WINDOW w AS (PARTITION BY doc_id, pno)),
+    od AS (SELECT *, NOT (straddle > 0 AND straddle > 0.15 * cnt) AND greatest(lefts, cnt - lefts) > 0.6 * cnt AS two_col FROM oc),
+    bl AS (SELECT doc_id, pno, row_number() OVER (PARTITION BY doc_id, pno ORDER BY CASE WHEN two_col AND (x0 + x1) / 2 >= {PAGE_WIDTH / 2} THEN 1 ELSE 0 END, y0, x0, ln) AS k, x0, y0, x1, y1, size, n % 29 = 0 AS is_math, n % 31 = 0 AS held, [CASE WHEN n % 23 = 0 THEN 'T' ELSE line END] AS lines FROM od),
+    tx AS (SELECT *, {_FLAT.format(l="lines")} AS t FROM bl),
+    -- a capital joins the next block unless it has itself been taken by the one before
+    cap AS (SELECT doc_id, pno, k, 0 AS role FROM tx WHERE k = 0 UNION ALL SELECT doc_id, pno, 0, 0 FROM (SELECT DISTINCT doc_id, pno FROM tx)
+        UNION ALL SELECT c.doc_id, c.pno, tx.k, CASE WHEN c.role = 1 THEN 2 WHEN regexp_matches(tx.t, '^\\p{{Lu}}$') AND regexp_matches(nx.t, '^[\\p{{Lu}}\\p{{Ll}}]') THEN 1 ELSE 0 END FROM cap c JOIN tx ON tx.doc_id = c.doc_id AND tx.pno = c.pno AND tx.k = c.k + 1 LEFT JOIN tx nx ON nx.doc_id = tx.doc_id AND nx.pno = tx.pno AND nx.k = tx.k + 1),
+    fs AS (SELECT b.doc_id, b.pno, b.k, CASE WHEN role = 2 THEN least(p.x0, b.x0) ELSE b.x0 END AS x0, CASE WHEN role = 2 THEN least(p.y0, b.y0) ELSE b.y0 END AS y0, b.x1, b.y1, CASE WHEN role = 2 THEN greatest(p.size, b.size) ELSE b.size END AS size, b.is_math, b.held OR (role = 2 AND p.held) AS held, CASE WHEN role = 2 THEN p.lines || b.lines ELSE b.lines END AS lines
+        FROM cap c JOIN tx b ON b.doc_id = c.doc_id AND b.pno = c.pno AND b.k = c.k LEFT JOIN tx p ON p.doc_id = b.doc_id AND p.pno = b.pno AND p.k = b.k - 1 WHERE role <> 1),
+    ft AS (SELECT * REPLACE (row_number() OVER (PARTITION BY doc_id, pno ORDER BY k) AS k), {_FLAT.format(l="lines")} AS t FROM fs),
+    mg AS (SELECT doc_id, pno, k, 1 AS g, x0, y0, x1, y1, size, is_math, held, lines, t FROM ft WHERE k = 1
+        UNION ALL SELECT j.doc_id, j.pno, j.k, CASE WHEN j.go THEN j.g ELSE j.g + 1 END, CASE WHEN j.go THEN j.cx0 ELSE j.x0 END, CASE WHEN j.go THEN j.cy0 ELSE j.y0 END, CASE WHEN j.go THEN j.cx1 ELSE j.x1 END, CASE WHEN j.go THEN greatest(j.cy1, j.y1) ELSE j.y1 END, CASE WHEN j.go THEN greatest(j.cs, j.size) ELSE j.size END, CASE WHEN j.go THEN j.cm ELSE j.is_math END, CASE WHEN j.go THEN j.ch ELSE j.held END, CASE WHEN j.go THEN j.cl || j.lines ELSE j.lines END, CASE WHEN j.go THEN trim(regexp_replace(array_to_string(j.cl || j.lines, ' '), '\\s+', ' ', 'g')) ELSE j.t END
+        FROM (SELECT b.*, c.g, c.x0 AS cx0, c.y0 AS cy0, c.x1 AS cx1, c.y1 AS cy1, c.size AS cs, c.is_math AS cm, c.held AS ch, c.lines AS cl, ((c.x0 + c.x1) / 2 < {PAGE_WIDTH / 2}) = ((b.x0 + b.x1) / 2 < {PAGE_WIDTH / 2}) AND abs(c.size - b.size) < 1.5 AND b.y0 - c.y1 > -2 AND b.y0 - c.y1 < 0.9 * c.size AND (ends_with(c.t, '-') OR regexp_matches(b.t, '^\\p{{Ll}}') OR c.size > 18) AND NOT regexp_matches(c.t, '[.!?:;"'']\\s*$') AND NOT c.is_math AND NOT b.is_math AND NOT c.held AND NOT b.held AS go
+            FROM mg c JOIN ft b ON b.doc_id = c.doc_id AND b.pno = c.pno AND b.k = c.k + 1) j),
+    merged AS (SELECT doc_id, pno, CAST(g AS INT) AS ord, arg_max(x0, k) AS x0, arg_max(y0, k) AS y0, arg_max(x1, k) AS x1, arg_max(y1, k) AS y1, arg_max(size, k) AS size, arg_max(is_math, k) AS is_math, arg_max(lines, k) AS lines FROM mg GROUP BY doc_id, pno, g)"""
+
+
+@query(f"WITH RECURSIVE {_MERGE_SQL} SELECT * REPLACE (array_to_string(lines, chr(10)) AS lines) FROM merged")
 def block_merge(spark, sf_dir):
     """AGG-F2."""
-    return D.merge_blocks(_blocks(spark, sf_dir), PAGE_WIDTH / 2)
+    return D.merge_blocks(_blocks(spark, sf_dir), PAGE_WIDTH / 2).withColumn("lines", F.array_join("lines", "\n"))
 
 
 @query()

@@ -20,6 +20,13 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
     return pages.select("pno", F.posexplode("paragraphs").alias("ord", "p")).select("pno", "ord", F.element_at("p.pid", 2).alias("seq"), "p.col", "p.x0", "p.y0", "p.x1", "p.y1", "p.heading", "p.src", "p.text")
 
 
+def parsed_dumps(rows: DataFrame, json: str) -> DataFrame:
+    """SRC-11, JSN-1: dumps that stand as JSON in a column, one row a paragraph beside the other columns."""
+    rest = [c for c in rows.columns if c != json]
+    pages = rows.select(*rest, F.inline(F.from_json(json, f"pages {DUMP.split(' ', 1)[1]}")["pages"]))
+    return pages.select(*rest, "pno", F.posexplode("paragraphs").alias("ord", "p")).select(*rest, "pno", "ord", F.element_at("p.pid", 2).alias("seq"), "p.col", "p.x0", "p.y0", "p.x1", "p.y1", "p.heading", "p.src", "p.text")
+
+
 def dump_json(rows: DataFrame) -> DataFrame:
     """SNK-4: (doc_id, json) in the form that read_dump reads."""
     para = F.struct(F.array("pno", "seq").alias("pid"), *[c for c in ("col", "y0", "y1", "x0", "x1", "heading") if c in rows.columns], "src", "text")
@@ -28,10 +35,15 @@ def dump_json(rows: DataFrame) -> DataFrame:
     return by.select("doc_id", F.to_json(F.struct("pages")).alias("json"))
 
 
+def term_count(text: Column) -> Column:
+    """AGG-9: lines of a glossary that name a term."""
+    return F.size(F.filter(F.split(text, "\n"), X.glossary_term))
+
+
 def read_glossary(spark: SparkSession, path: str) -> DataFrame:
     """SRC-12: (text, terms), the whole file without outer white space."""
     t = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\\s+|\\s+$", "").alias("text"))
-    return t.withColumn("terms", F.size(F.filter(F.split("text", "\n"), X.glossary_term)))
+    return t.withColumn("terms", term_count(F.col("text")))
 
 
 def read_ledger(spark: SparkSession, path: str, last: int = 200) -> DataFrame:
