@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.constants import SYMBOLS
+
 # Character classes and word lists that results depend on.
 MATH_CLASS = "Α-Ωα-ω⁰-₟℀-⅏←-⇿∀-⋿⌀-⏿⨀-⫿⬀-⯿±×·′″√∞≈≠≤≥∈∂∇∆Δ°∝∑∏⊕⊗⋯"
 HARD_MATH = "\\\\^_{}|&<>~=+*/∑∏√≤≥≠≈×±∂∇⊂⊃⊆⊇∈∉∩∪∅⋅∝∞∫"
@@ -232,17 +234,9 @@ def glossary_term(t: Column) -> Column:
     return (at > 1) & ~F.substring_index(t, ":", 1).rlike("[`一-鿿]")
 
 
-# Symbol-font private-use characters: fixed values, by code.
-SYMBOL_FROM = "\uf0a2\uf0a3\uf0a4\uf0a5\uf0b0\uf0b1\uf0b2\uf0b3\uf0b4\uf0b5\uf0b6\uf0b7\uf0b8\uf0b9\uf0ba\uf0bb\uf0bc\uf0c4\uf0c5\uf0c6\uf0c7\uf0c8\uf0c9\uf0ca\uf0cc\uf0cd\uf0ce\uf0cf\uf0d0\uf0d1\uf0d5\uf0d6\uf0d7\uf0d8\uf0d9\uf0da\uf0db\uf0dc\uf0dd\uf0de\uf0df\uf0e0\uf0e1\uf0e5\uf0f1\uf0f2\uf0f3\uf0f5\uf022\uf024\uf027\uf02a\uf02d\uf03d\uf02b\uf03c\uf03e\uf05c\uf05e\uf07e\uf0e6\uf0e7\uf0e8\uf0e9\uf0ea\uf0eb\uf0ec\uf0ed\uf0ee"
-SYMBOL_TO = "′≤⁄∞°±″≥×∝∂•÷≠≡≈…⊗⊕∅∩∪⊃⊇⊂⊆∈∉∠∇∏√⋅¬∧∨⇔⇐⇑⇒⇓◊⟨∑⟩∫⌠⌡∀∃∋∗−=+<>∴⊥∼()[]{}⟨⟩|"
-#: Letters follow their code: 26 from each start; they win over the signs above.
-GREEK = ((0xF061, 0x03B1), (0xF041, 0x0391))
-
-
 def decode_symbols(t: Column) -> Column:
     """STR-4."""
-    table = dict(zip(SYMBOL_FROM, SYMBOL_TO, strict=True)) | {chr(a + i): chr(b + i) for a, b in GREEK for i in range(26)}
-    return F.translate(t, "".join(table), "".join(table.values()))
+    return F.translate(t, "".join(SYMBOLS), "".join(SYMBOLS.values()))
 
 
 # ---------------------------------------------------------------- page specs

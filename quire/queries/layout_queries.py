@@ -255,7 +255,7 @@ def rect_components(spark, sf_dir):
 
 
 @query(f"""WITH {_RECT_SQL}, t AS (SELECT doc_id, CASE WHEN item % 3 = 0 THEN 'An end.' ELSE 'label' END AS text, x0 + 5 AS x0, y0 + 5 AS y0, x0 + 45 AS x1, y0 + 15 AS y1 FROM re),
-    m AS (SELECT r.doc_id, r.item, r.x0, r.y0, r.x1, r.y1, length(t.text) <= 48 AND NOT regexp_matches(t.text, '[.。！？!?；;:：]\s*$') AND t.x1 - t.x0 < 0.72 * (r.x1 - r.x0) AS label FROM re r JOIN t ON t.doc_id = r.doc_id
+    m AS (SELECT r.doc_id, r.item, r.x0, r.y0, r.x1, r.y1, length(t.text) <= 48 AND NOT regexp_matches(t.text, '[.。！？!?；;:：]\\s*$') AND t.x1 - t.x0 < 0.72 * (r.x1 - r.x0) AS label FROM re r JOIN t ON t.doc_id = r.doc_id
         WHERE (r.x1 - r.x0) * (r.y1 - r.y0) >= 9000 AND (r.x1 - r.x0) * (r.y1 - r.y0) < 0.35 * {PAGE_WIDTH * PAGE_HEIGHT} AND greatest(least(t.x1, r.x1) - greatest(t.x0, r.x0), 0) * greatest(least(t.y1, r.y1) - greatest(t.y0, r.y0), 0) / greatest((t.x1 - t.x0) * (t.y1 - t.y0), 1e-6) >= 0.8)
     SELECT doc_id, 0 AS pno, item, x0 AS r_x0, y0 AS r_y0, x1 AS r_x1, y1 AS r_y1 FROM m GROUP BY ALL HAVING count(*) <= 8 AND bool_and(label)""")
 def sparse_figures(spark, sf_dir):
