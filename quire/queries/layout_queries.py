@@ -391,5 +391,5 @@ def page_solve(spark, sf_dir):
     """LAY-10: synthetic translations of each page's lines, around one region a page."""
     lay = _layout(spark, sf_dir).where("n > 0")
     p = lay.select("doc_id", "pno", F.col("ln").alias("seq"), "x0", "y0", "x1", F.col("y1"), "size", X.synthetic(F.col("line")).alias("text"))
-    r = _regions(lay).where("pno % 5 = 0").select("doc_id", "pno", F.col("r_x0").alias("x0"), (F.col("r_y0") + 700).alias("y0"), F.col("r_x1").alias("x1"), (F.col("r_y1") + 700).alias("y1"))
+    r = _regions(lay).select("doc_id", "pno", F.col("r_x0").alias("x0"), (F.col("r_y0") + 700).alias("y0"), F.col("r_x1").alias("x1"), (F.col("r_y1") + 700).alias("y1"))
     return L.solve(p, r, PAGE_HEIGHT).drop("lines")

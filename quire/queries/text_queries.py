@@ -60,14 +60,13 @@ def page_spec_expand(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", F.explode(X.page_spec(spec, F.lit(20), strict=False)).alias("page"))
 
 
-@query("""WITH s AS (SELECT n_nationkey AS k, [[n_nationkey, n_nationkey + 3], [n_regionkey + 1, n_regionkey + 1]] AS parts FROM nation WHERE n_nationkey BETWEEN 1 AND 20),
+@query("""WITH s AS (SELECT n_nationkey AS k, [[n_nationkey + 1, n_nationkey + 4], [n_regionkey + 1, n_regionkey + 1]] AS parts FROM nation),
     u AS (SELECT k, unnest(parts) AS p FROM s)
     SELECT DISTINCT k AS n_nationkey, CAST(page - 1 AS INT) AS page FROM (SELECT k, unnest(range(p[1], least(p[2], 20) + 1)) AS page FROM u)""")
 def page_spec_strict(spark, sf_dir):
-    """SRC-3, SRC-5: the same with full-width commas and clamped ends, where every part is valid."""
-    spec = F.concat(F.col("n_nationkey").cast("string"), F.lit("-"), (F.col("n_nationkey") + 3).cast("string"), F.lit("，"), (F.col("n_regionkey") + 1).cast("string"))
-    n = table(spark, sf_dir, "nation").where("n_nationkey between 1 and 20")
-    return n.select("n_nationkey", F.explode(X.page_spec(spec, F.lit(20), strict=True)).alias("page"))
+    """SRC-3, SRC-5: the same from page 1 on, with full-width commas, clamped ends and parts beyond the last page."""
+    spec = F.concat((F.col("n_nationkey") + 1).cast("string"), F.lit("-"), (F.col("n_nationkey") + 4).cast("string"), F.lit("，"), (F.col("n_regionkey") + 1).cast("string"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.explode(X.page_spec(spec, F.lit(20), strict=True)).alias("page"))
 
 
 SOLID = "regexp_replace(line, '\\s+', '', 'g')"
@@ -104,41 +103,29 @@ def join_lines_dehyphen(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.join_lines(lines).alias("joined"))
 
 
-_INJECT = "'key sk-abcdefgh' || doc_id || 'ijklmnopqrstu https://user:pw@host/x?token=abc' || doc_id || '&b=1 Bearer zzzzzzzzzzzzzzzzzzzz' || doc_id || ' ' || left(text, 40)"
+_INJECT = "'key sk-abcdefgh' || doc_id || 'ijklmnopqrstu https://user:pw@host/x?token=abc' || doc_id || '&b=1 Bearer zzzzzzzzzzzzzzzzzzzz' || doc_id || ' ' || text"
 
 
-def _injected(docs: DataFrame, whole: bool = False) -> DataFrame:
+def _injected(docs: DataFrame) -> DataFrame:
     d = F.col("doc_id").cast("string")
-    return docs.select("doc_id", F.concat(F.lit("key sk-abcdefgh"), d, F.lit("ijklmnopqrstu https://user:pw@host/x?token=abc"), d, F.lit("&b=1 Bearer zzzzzzzzzzzzzzzzzzzz"), d, F.lit(" "), F.col("text") if whole else F.substring("text", 1, 40)).alias("text"))
+    return docs.select("doc_id", F.concat(F.lit("key sk-abcdefgh"), d, F.lit("ijklmnopqrstu https://user:pw@host/x?token=abc"), d, F.lit("&b=1 Bearer zzzzzzzzzzzzzzzzzzzz"), d, F.lit(" "), "text").alias("text"))
 
 
 @query(f"""WITH t AS (SELECT doc_id, {_INJECT} AS text FROM documents)
     SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)bearer\\s+[A-Za-z0-9._~+/=-]+', 'Bearer [REDACTED]', 'g'), 'sk-[A-Za-z0-9_-]{{8,}}', '[REDACTED]', 'g'), '(?i)(https?://)[^/@\\s]+@', '\\1[REDACTED]@', 'g'),
         '(?i)([?&](?:api[_-]?key|key|token|access_token|secret)=)[^&\\s]+', '\\1[REDACTED]', 'g') AS text FROM t""")
 def redact_text(spark, sf_dir):
-    """STR-14, STR-15 on texts with injected secrets."""
+    """STR-14, STR-15 on whole documents behind injected secrets."""
     return _injected(table(spark, sf_dir, "documents")).select("doc_id", X.redacted(F.col("text")).alias("text"))
 
 
 @query(f"""WITH t AS (SELECT doc_id, {_INJECT} AS text FROM documents), r(rule, pattern) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in J.SECRET_RULES.items())})
     SELECT doc_id, rule FROM t, r WHERE regexp_matches(text, pattern)""")
 def secret_scan(spark, sf_dir):
-    """JOIN-16."""
+    """JOIN-16 on whole documents behind injected secrets."""
     return J.scan_rules(_injected(table(spark, sf_dir, "documents"))).select("doc_id", "rule")
 
 
-@query()
-def redact_whole_text(spark, sf_dir):
-    """STR-14, STR-15 on whole documents behind injected secrets; the twin of ``redact_text`` reads 40 characters of each."""
-    return _injected(table(spark, sf_dir, "documents"), whole=True).select("doc_id", X.redacted(F.col("text")).alias("text"))
-
-
-@query()
-def secret_scan_whole_text(spark, sf_dir):
-    """JOIN-16 on whole documents; the twin of ``secret_scan`` reads 40 characters of each."""
-    return J.scan_rules(_injected(table(spark, sf_dir, "documents"), whole=True)).select("doc_id", "rule")
-
-
 _ANSWER = "'1. ' || left(role, 3) || chr(10) || '2) x' || turn || chr(10) || 'lost line' || chr(10) || '2、' || length(text) || chr(10) || ' 4 . end'"
 
 

@@ -62,14 +62,14 @@ def test_secrets_of_whole_texts(spark, long_docs):
     from quire.operators.joins import SECRET_RULES
 
     rules = [(r"(?i)bearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]"), (r"sk-[A-Za-z0-9_-]{8,}", "[REDACTED]"), (r"(?i)(https?://)[^/@\s]+@", r"\1[REDACTED]@"), (r"(?i)([?&](?:api[_-]?key|key|token|access_token|secret)=)[^&\s]+", r"\1[REDACTED]")]
-    got = {r.doc_id: r.text for r in QUERIES["redact_whole_text"](spark, long_docs).collect()}
+    got = {r.doc_id: r.text for r in QUERIES["redact_text"](spark, long_docs).collect()}
     for i, text in got.items():
         want = f"key sk-abcdefgh{i}ijklmnopqrstu https://user:pw@host/x?token=abc{i}&b=1 Bearer zzzzzzzzzzzzzzzzzzzz{i} " + "word " * 1000 + LATE + " x² $\\alpha$"
         found = {k for k, p in SECRET_RULES.items() if re.search(p, want)}
         for p, by in rules:
             want = re.sub(p, by, want)
         assert text == want and "home_path" in found
-        assert {r.rule for r in QUERIES["secret_scan_whole_text"](spark, long_docs).where(f"doc_id = {i}").collect()} == found
+        assert {r.rule for r in QUERIES["secret_scan"](spark, long_docs).where(f"doc_id = {i}").collect()} == found
     assert len(got) == 3
 
 
