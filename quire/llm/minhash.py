@@ -239,12 +239,22 @@ def _confirm(width: int, num: int, den: int):
     return run
 
 
+def _by_centre(rows: DataFrame, centres: DataFrame, salts: int = 32) -> DataFrame:
+    """Join of ``rows`` (a, c, ...) with the row of their centre, if it has one, dealt by (c, salt).
+
+    A centre that a large share of all rows has is met in ``salts`` places; its row goes only where it is wanted.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
+    spread = salted.select("c", "_salt").distinct().join(centres, "c")
+    return salted.join(spread, ["c", "_salt"]).drop("_salt")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int, group: int = 1000) -> DataFrame:
     """Every pair (a, c) with its set sizes, whether it links (den * intersection >= num * union), and the
     hashes in just one of both sets; ``texts`` is (doc, text), one row a doc. A centre with a single member
     needs no differences and gets none."""
     parts = pairs.groupBy("c").agg(F.ceil(F.count("*") / group).cast("int").alias("parts"), (F.count("*") == 1).alias("alone"))
-    members = pairs.join(parts, "c").select(F.col("a").alias("doc"), "c", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), "alone")
+    members = _by_centre(pairs, parts).select(F.col("a").alias("doc"), "c", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), "alone")
     centres = parts.select(F.col("c").alias("doc"), "c", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "alone")
     n = C.partitions(texts, 16)
     rows = members.unionByName(centres).join(texts.hint("merge"), "doc").select("c", "part", "alone", (F.col("doc") != F.col("c")).alias("member"), "doc", "text")
@@ -268,9 +278,9 @@ def through_centres(tested: DataFrame, labels: DataFrame, num: int, den: int) ->
 
     lab = labels.select(F.col("node").alias("a"), "label")
     lc = labels.select(F.col("node").alias("c"), F.col("label").alias("lc"))
-    t = tested.where("size(delta) > 0").join(lab, "a", "left").join(lc, "c", "left").withColumn("label", F.coalesce("label", "a")).withColumn("lc", F.coalesce("lc", "c"))
-    wanted = t.where("not linked").groupBy("c").agg(F.count("*").alias("open"))
-    t = C.written(t.join(wanted.select("c"), "c", "left_semi"))
+    some = tested.where("size(delta) > 0")
+    open_ = some.where("not linked").select("c").distinct().join(lc, "c", "left").select("c", F.coalesce("lc", "c").alias("lc"))
+    t = C.written(_by_centre(some.join(lab, "a", "left").withColumn("label", F.coalesce("label", "a")), open_))
     least = f"floor((size(delta) + {den - num}D / {den + num} * (nc - na)) / 2 + 1 - 1e-9)"
     cut = t.select("c", "a", "label", "linked", "na", F.size("delta").alias("d"), F.expr(f"size(delta) - greatest(1, {least}) + 1").alias("prefix"), F.explode("delta").alias("e"))
     seen = cut.groupBy("c", "e").agg(F.count("*").alias("df"))
