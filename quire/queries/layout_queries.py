@@ -380,7 +380,27 @@ def block_merge(spark, sf_dir):
     return D.merge_blocks(_blocks(spark, sf_dir), PAGE_WIDTH / 2).withColumn("lines", F.array_join("lines", "\n"))
 
 
-@query()
+_ALIGNED = "least(b.x1 - b.x0, c.x1 - c.x0) > 0 AND (least(b.x1, c.x1) - greatest(b.x0, c.x0)) / least(b.x1 - b.x0, c.x1 - c.x0) > 0.55"
+_HIGH = "greatest(c.tall, 0.9 * b.size)"
+_KEEP = ("x0", "y0", "x1", "y1", "size", "heading", "skip", "n", "tall", "low")
+# What a block does to the paragraph or formula before it, and what that leaves: one row of state a block.
+_FOLD_SQL = f"""{_MERGE_SQL}, jb AS (SELECT doc_id, pno, ord, x0, y0, x1, y1, size, is_math, trim(regexp_replace(list_reduce(lines, lambda a, x: CASE WHEN ends_with(a, '-') AND regexp_matches(x, '^\\p{{Ll}}') THEN left(a, length(a) - 1) || x ELSE a || ' ' || x END), '\\s+', ' ', 'g')) AS text, trim(lines[1]) AS first, len(lines) AS n FROM merged),
+    fb AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pno ORDER BY ord) AS k, (y1 - y0) / greatest(n, 1) AS tall, NOT regexp_matches(text, '[一-鿿]') AND (length(text) - length(regexp_replace(text, '\\p{{L}}', '', 'g'))) / greatest(length(text), 1) < 0.6 AS skip,
+        (length(text) <= 110 AND (regexp_matches(first, '^(I{{1,3}}|IV|VI{{0,3}}|IX|XI{{0,3}})\\.\\s*[A-Z]') OR regexp_matches(first, '^\\d{{1,2}}(\\.\\d{{1,2}}){{0,2}}\\.\\s+[A-Z][a-z]') OR regexp_matches(first, '^[A-Z]\\.\\s+[A-Z]') OR regexp_matches(first, '(?i)^({X.HEADING_WORDS})\\b'))) OR regexp_matches(first, '(?i)^references?\\b') AS heading FROM jb WHERE length(text) > 0),
+    pr AS (SELECT doc_id, pno, k, 1 AS g, CASE WHEN is_math THEN 'm' ELSE 't' END AS kind, x0, y0, x1, y1, size, NOT is_math AND heading AS heading, NOT is_math AND skip AS skip, CASE WHEN is_math THEN 1 ELSE n END AS n, CASE WHEN is_math THEN 0.0 ELSE tall END AS tall, CASE WHEN is_math THEN 0.0 ELSE y1 END AS low, CASE WHEN is_math THEN []::VARCHAR[] ELSE [text] END AS parts, CASE WHEN is_math THEN -1.0 ELSE y1 END AS bottom FROM fb WHERE k = 1
+        UNION ALL SELECT doc_id, pno, k, CASE WHEN act IN ('inline', 'again', 'join') THEN g ELSE g + 1 END, CASE WHEN act IN ('again', 'formula') THEN 'm' ELSE 't' END,
+            CASE WHEN act = 'inline' THEN cx0 WHEN act IN ('again', 'join') THEN least(cx0, x0) ELSE x0 END, CASE WHEN act IN ('inline', 'join') THEN cy0 WHEN act = 'again' THEN least(cy0, y0) ELSE y0 END,
+            CASE WHEN act = 'inline' THEN cx1 WHEN act IN ('again', 'join') THEN greatest(cx1, x1) ELSE x1 END, CASE WHEN act IN ('inline', 'again', 'join') THEN greatest(cy1, y1) ELSE y1 END, CASE WHEN act IN ('inline', 'again', 'join') THEN csize ELSE size END,
+            CASE act WHEN 'text' THEN heading WHEN 'formula' THEN false ELSE cheading END, CASE act WHEN 'text' THEN skip WHEN 'formula' THEN false WHEN 'join' THEN cskip AND skip ELSE cskip END, CASE act WHEN 'text' THEN n WHEN 'formula' THEN 1 WHEN 'join' THEN cn + n ELSE cn END,
+            CASE act WHEN 'formula' THEN 0.0 WHEN 'text' THEN tall WHEN 'join' THEN tall ELSE ctall END, CASE act WHEN 'formula' THEN 0.0 WHEN 'text' THEN y1 WHEN 'join' THEN y1 ELSE clow END, CASE act WHEN 'formula' THEN []::VARCHAR[] WHEN 'text' THEN [text] WHEN 'again' THEN cparts ELSE list_append(cparts, text) END, CASE WHEN is_math THEN cbottom ELSE y1 END
+        FROM (SELECT b.*, c.g, c.parts AS cparts, c.bottom AS cbottom, {", ".join(f"c.{f} AS c{f}" for f in _KEEP)},
+            CASE WHEN b.is_math AND c.kind = 't' AND {_ALIGNED} AND b.y0 >= c.y0 - 2 AND b.y0 <= c.bottom + 0.6 * b.size AND b.y0 - c.y0 < 200 AND abs((b.y0 + b.y1) / 2 - (c.low - c.tall / 2)) <= 0.65 * {_HIGH} AND least(b.y1, c.low) - greatest(b.y0, c.low - c.tall) > 0.15 * {_HIGH} AND b.y1 - b.y0 <= 2.2 * {_HIGH} THEN 'inline'
+                WHEN b.is_math AND c.kind = 'm' AND greatest(least(b.x1, c.x1) - greatest(b.x0, c.x0), 0) * greatest(least(b.y1, c.y1) - greatest(b.y0, c.y0), 0) >= 0.55 * least((b.x1 - b.x0) * (b.y1 - b.y0), (c.x1 - c.x0) * (c.y1 - c.y0)) THEN 'again' WHEN b.is_math THEN 'formula'
+                WHEN c.kind = 't' AND {_ALIGNED} AND NOT b.heading AND b.y0 - c.bottom < 1.35 * b.size AND (NOT c.heading OR (b.y0 - c.bottom < b.size AND length(b.text) <= 60 AND regexp_matches(b.text, '^[A-Z0-9 \\-.():]+$'))) THEN 'join' ELSE 'text' END AS act
+            FROM pr c JOIN fb b ON b.doc_id = c.doc_id AND b.pno = c.pno AND b.k = c.k + 1) j)"""
+
+
+@query(f"""WITH RECURSIVE {_FOLD_SQL} SELECT doc_id, pno, g AS seq, arg_max(kind, k) AS kind, {", ".join(f"arg_max({c}, k) AS {c}" for c in ("x0", "y0", "x1", "y1", "size"))}, arg_max(heading, k) AS is_heading, arg_max(skip, k) AS is_skip, CAST(arg_max(n, k) AS INT) AS n_lines, array_to_string(arg_max(parts, k), ' ') AS text FROM pr GROUP BY doc_id, pno, g""")
 def paragraph_fold(spark, sf_dir):
     """AGG-F3, AGG-16, FLT-13 to FLT-15 after AGG-F2."""
     return D.assemble_paragraphs(D.merge_blocks(_blocks(spark, sf_dir), PAGE_WIDTH / 2))

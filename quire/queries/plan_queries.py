@@ -170,7 +170,7 @@ def inline_formulas(spark, sf_dir):
     """FLT-13: a shifted copy of each line as a formula, the line as a paragraph of one to three lines."""
     n = F.col("n")
     b = F.struct("x0", (F.col("y0") + n % 9).alias("y0"), "x1", (F.col("y0") + 10 + n % 20).alias("y1"), "size")
-    p = F.struct(((F.col("y1") - F.col("y0")) / (1 + n % 3)).alias("tall"), "y1")
+    p = F.struct(((F.col("y1") - F.col("y0")) / (1 + n % 3)).alias("tall"), F.col("y1").alias("low"))
     return _layout(spark, sf_dir).select("doc_id", "ln", b.alias("b"), p.alias("p")).select("doc_id", "ln", D.in_last_line(F.col("b"), F.col("p")).alias("inline"))
 
 
