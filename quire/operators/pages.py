@@ -72,5 +72,11 @@ def bibliography_pages(blocks: DataFrame, first: int = 120) -> DataFrame:
 
 
 def pages_in(blocks: DataFrame, spec: Column, pages: Column, strict: bool = True) -> DataFrame:
-    """SRC-2: blocks of the pages a spec names; a filter on pno that readers can push down."""
+    """SRC-2 with a spec and a number of pages in each row."""
     return blocks.where(F.array_contains(X.page_spec(spec, pages, strict), F.col("pno")))
+
+
+def only_pages(blocks: DataFrame, spec: str, pages: int, strict: bool = True) -> DataFrame:
+    """SRC-2 with one spec for all: a list of page numbers, which scans of Parquet and ``pdf_spans`` take as a filter."""
+    wanted = blocks.sparkSession.range(1).select(X.page_spec(F.lit(spec), F.lit(pages), strict).alias("p")).first()["p"]
+    return blocks.where(F.col("pno").isin(wanted))

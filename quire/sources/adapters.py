@@ -11,13 +11,27 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
 
 SPANS = "doc_id long, pno int, block_no int, line_no int, span_no int, text string, font string, size double, x0 double, y0 double, x1 double, y1 double, origin_y double"
 
 
+#: Filters that a page number can be held against before its page is opened.
+TESTS: dict[str, Callable] = {
+    "EqualTo": lambda p, v: p == v,
+    "In": lambda p, v: p in v,
+    "GreaterThan": lambda p, v: p > v,
+    "GreaterThanOrEqual": lambda p, v: p >= v,
+    "LessThan": lambda p, v: p < v,
+    "LessThanOrEqual": lambda p, v: p <= v,
+}
+
+
 class PdfSpans(DataSource):
-    """``spark.read.format("pdf_spans").load(path)``: the text spans of a file, a partition for each range of pages."""
+    """``spark.read.format("pdf_spans").load(path)``: the text spans of a file, a partition for each range of pages.
+
+    Filters on ``pno`` are pushed down (SRC-2, with spark.sql.python.filterPushdown.enabled): other pages aren't opened.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -33,12 +47,21 @@ class PdfSpans(DataSource):
 class _PdfReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.doc_id, self.step = options["path"], int(options.get("docId", 0)), int(options.get("pagesPerTask", 16))
+        self.wanted: list[tuple[str, object]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if getattr(f, "attribute", None) == ("pno",) and type(f).__name__ in TESTS:
+                self.wanted.append((type(f).__name__, f.value))
+            else:
+                yield f
 
     def partitions(self) -> list[InputPartition]:
         import pymupdf
 
         with pymupdf.open(self.path) as doc:
-            return [InputPartition(range(a, min(a + self.step, len(doc)))) for a in range(0, len(doc), self.step)]
+            pages = [p for p in range(len(doc)) if all(TESTS[name](p, value) for name, value in self.wanted)]
+        return [InputPartition(pages[a : a + self.step]) for a in range(0, len(pages), self.step)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         import pymupdf

@@ -50,3 +50,36 @@ def test_lines_and_lists(spark):
     m = lambda *v: spark.createDataFrame([(x,) for x in v], "id string")
     assert sorted(x.id for x in R.chosen_models(m("a", "b"), m("b", "c")).collect()) == ["a", "b", "c"]
     assert spark.range(1).select(R.shortened(F.array(F.lit("abcdef"), F.lit("x")), 1, 3).alias("v")).first().v == ["abc"]
+
+
+def test_page_pushdown(spark, tmp_path, monkeypatch):
+    """Only the pages of a spec are opened, and a Parquet scan sees the filter."""
+    import sys
+    import types
+
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, StringContains
+
+    from quire.operators.pages import only_pages
+    from quire.sources.adapters import _PdfReader
+
+    opened = []
+
+    class Doc(list):
+        __enter__ = lambda self: self
+        __exit__ = lambda self, *a: None
+
+        def __getitem__(self, k):
+            opened.append(k)
+            span = {"text": f"p{k}", "font": "f", "size": 9, "bbox": (0, 0, 1, 1), "origin": (0, 1)}
+            return types.SimpleNamespace(get_text=lambda kind: {"blocks": [{"type": 1}, {"type": 0, "lines": [{"spans": [span]}]}]})
+
+    monkeypatch.setitem(sys.modules, "pymupdf", types.SimpleNamespace(open=lambda path: Doc(range(40))))
+    reader = _PdfReader({"path": "x.pdf", "pagesPerTask": 2})
+    other = [StringContains(("text",), "p"), EqualTo(("block_no",), 0)]
+    assert list(reader.pushFilters([In(("pno",), (3, 5, 6, 39, 41)), GreaterThanOrEqual(("pno",), 5), *other])) == other
+    got = [r for part in reader.partitions() for r in reader.read(part)]
+    assert [(r[1], r[5]) for r in got] == [(5, "p5"), (6, "p6"), (39, "p39")] and opened == [5, 6, 39]
+
+    spark.createDataFrame([(1, k) for k in range(9)], "doc_id long, pno int").write.parquet(f"{tmp_path}/blocks")
+    some = only_pages(spark.read.parquet(f"{tmp_path}/blocks"), "2-3，9", 9)
+    assert sorted(r.pno for r in some.collect()) == [1, 2, 8] and "PushedFilters: [In(pno" in some._jdf.queryExecution().toString()
