@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import rewrite as R
 from quire.functions import text as X
+from quire.functions.constants import ACCENTS, FUNCTIONS, SIGNS, WRAPPERS
 from quire.operators import joins as J
 from quire.operators import pages as P
 from quire.operators.relations import LAYOUT_SQL, PAGE_WIDTH, pseudo_layout, text_lines
@@ -155,17 +156,43 @@ def synthetic_translation(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.synthetic(F.col("text")).alias("text"))
 
 
-@query()
+def _latex_sql(t: str) -> str:
+    """LaTeX step by step: each command by its own replacement (twice, as neighbours share the sign between them)."""
+    q = lambda x: x.replace("'", "''")
+    put = lambda p, new: f"regexp_replace({t}, '{q(p)}', '{q(new)}', 'g')"
+    arg = r"\s*\{([^{}]*)\}"
+    for _ in range(3):
+        t = put(r"\\(?:" + "|".join(WRAPPERS) + ")" + arg, r"\1")
+    t = put(r"\\[dt]?frac" + arg + arg, r"\1/\2")
+    t = put(r"\\sqrt" + arg, r"√(\1)")
+    for name, mark in ACCENTS.items():
+        t = put(rf"\\{name}\s*\{{?([A-Za-z0-9])\}}?", rf"\1{mark}")
+    t = put(r"\\(?:left|right|big|Big|bigg|Bigg)\s*", "")
+    t = put(r"\\(?:begin|end)\s*\{[^{}]*\}", " ")
+    t = put(r"\\\\", "；")
+    t = put("&", "，")
+    for name, sign in [*SIGNS.items(), *((f, f) for f in sorted(FUNCTIONS - set(SIGNS)))]:
+        for _ in range(2):
+            t = put(rf"\\{name}([^a-zA-Z]|$)", rf"{sign}\1")
+    t = put(r"\\([%_#$~^{}])", r"\1")
+    t = put(r"\$", "")
+    return put(r"[ \t]{2,}", " ")
+
+
+_TEX = r"$\mathcal{L} = \frac{a}{b} \times \hat{M}$ "
+
+
+@query(f"""WITH t AS (SELECT doc_id, 'x^{{2}} t_{{k}} 10^{{−1}} xA ⟨3⟩ ' || nfc_normalize(text) AS t FROM documents) SELECT doc_id, CASE WHEN contains(t, '$') OR contains(t, '\\') THEN {_latex_sql("t")} ELSE t END AS text FROM t""")
 def nfkc_norm(spark, sf_dir):
     """STR-6, STR-7, STR-9 on texts with raised, lowered and wide characters."""
     t = F.concat(F.lit("ｘ² tₖ 10⁻¹ 𝑥𝐴 〈3》 "), F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", R.normal_column(t).alias("text"))
 
 
-@query()
+@query(f"""SELECT doc_id, {_latex_sql("t")} AS text FROM (SELECT doc_id, '{_TEX}' || text AS t FROM documents)""")
 def latex_to_unicode(spark, sf_dir):
     """STR-8."""
-    t = F.concat(F.lit("$\\mathcal{L} = \\frac{a}{b} \\times \\hat{M}$ "), F.col("text"))
+    t = F.concat(F.lit(_TEX), F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", R.latex_column(t).alias("text"))
 
 
