@@ -269,6 +269,39 @@ def test_sharding(spark, odd, none):
     assert len(few) == 3 and shard(none, size, F.col("text")).count() == 0
 
 
+def test_sharding_against_brute_force(spark):
+    """Boundaries, shards and slots from all keys sorted in plain Python."""
+    from pyspark.sql import functions as F
+
+    from quire.llm import common as C
+    from quire.llm.sharding import shard, splitters
+
+    rng = random.Random(14)
+    hot = prose(rng, 80)
+    rows = [(i if i % 50 else None, hot if rng.random() < 0.3 else prose(rng, rng.randrange(0, 60), 50), "en", "a", 1) for i in range(2500)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+    h, e = F.shiftrightunsigned(F.xxhash64(F.col("text").isNull(), F.col("text")), 1), F.shiftrightunsigned(C.key_of("doc_id").bitwiseXOR(F.lit(C.NULL_ID)), 1)
+    keys = docs.select(h.alias("_h"), e.alias("_e"), size.alias("_bytes"), C.key_of("doc_id").alias("_id"))
+    known = sorted(tuple(r) for r in keys.select("_h", "_e", "_id", "_bytes").collect())
+    total, n, parts = sum(k[3] for k in known), 24, 3
+    bounds = splitters(keys, n, 0.002, parts)
+    assert len(bounds) == n - 1 and bounds == sorted(bounds)
+    for i, (bh, be, below, count) in enumerate(bounds, 1):
+        mine = [k for k in known if k[:2] < (bh, be)]
+        assert (below, count) == (sum(k[3] for k in mine), len(mine))
+        slack = 0.002 * total * (parts if i % parts == 0 else 1) / n
+        before = max((k[3] for k in known if k[:2] in (mine[-1][:2] if mine else (), (bh, be))), default=0)
+        assert abs(below - total * i / n) <= slack + before + 1
+    # the same shards and slots from the sorted keys
+    at = [0, *(b[3] for b in bounds[parts - 1 :: parts]), len(known)]
+    expected = sorted((known[i][2], known[i][0], s, i - lo) for s, (lo, hi) in enumerate(zip(at, at[1:], strict=False)) for i in range(lo, hi))
+    out = shard(docs, size, F.col("text"), shards=8, parts=parts)
+    got = sorted(tuple(r) for r in out.select(C.key_of("doc_id"), h, "shard", "slot").collect())
+    # rows alike in id and text may change places
+    assert [g[:3] for g in got] == [x[:3] for x in expected] and sorted(g[2:] for g in got) == sorted(x[2:] for x in expected)
+
+
 # ---------------------------------------------------------------- chat
 def test_rotation(spark):
     from quire.llm.chat import joined, rotate
