@@ -110,6 +110,15 @@ def test_scanners():
     assert R.cjk_split("中文ab, c") == ["中", "文", "ab", ",", " ", "c"]
 
 
+def test_atom_arrays_close_by_atoms():
+    import pyarrow as pa
+
+    texts = ["设⟨1》x_i  b", None, "", "a b", "c", ""]
+    got = list(R.atom_arrays(iter([pa.array(texts[:4]), pa.array(texts[4:])]), 4))
+    assert [len(x) for x in got] == [1, 3, 2]
+    assert [[tuple(a.values()) for a in row] for x in got for row in x.to_pylist()] == [R.atoms(t) for t in texts]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab _^{}()中⟨1⟩-", max_size=40), st.floats(20, 200))
 def test_wrap_keeps_atoms_and_width(text, width):

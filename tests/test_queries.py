@@ -4,6 +4,7 @@ import decimal
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from quire.queries import ORACLES, QUERIES
@@ -79,5 +80,20 @@ def test_rewrites_of_whole_texts(spark, long_docs):
             assert len(r.text) > 5000 and tail in r.text[5000:], name
 
 
+@pytest.fixture(scope="module")
+def many_atoms(spark, tmp_path_factory):
+    """400 documents of 8,001 atoms in one task, whose Python worker gets 1,500 MB."""
+    d = tmp_path_factory.mktemp("atoms")
+    spark.range(0, 400, 1, 1).selectExpr("id as doc_id", "concat(repeat('ab ', 4000), '⟨2⟩') as text").write.parquet(f"{d}/documents.parquet")
+    spark.sparkContext.setLocalProperty("resource.pyspark.memory", "1500")
+    yield str(d)
+    spark.sparkContext.setLocalProperty("resource.pyspark.memory", None)
+
+
+def test_atom_tokens_in_little_memory(spark, many_atoms):
+    rows = QUERIES["atom_tokens"](spark, many_atoms).groupBy("kind", "s", "n").agg(F.count("*"), F.max("i")).collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([("w", "ab", None, 1_600_000, 7998), ("sp", None, None, 1_600_000, 7999), ("math", None, 2, 400, 8000)], key=str)
+
+
 def test_entry(spark):
     assert E.entry(spark).count() == 200 and set(ORACLES) <= set(E.oracle_sql()) and set(E.oracle_sql()) <= set(E.queries())
