@@ -95,5 +95,12 @@ def test_atom_tokens_in_little_memory(spark, many_atoms):
     assert sorted(map(tuple, rows), key=str) == sorted([("w", "ab", None, 1_600_000, 7998), ("sp", None, None, 1_600_000, 7999), ("math", None, 2, 400, 8000)], key=str)
 
 
+def test_kept_atoms_in_little_memory(spark, many_atoms):
+    # the query's own ⟨1⟩ and ⟨7⟩ come behind the text's ⟨2⟩
+    for r in QUERIES["kept_atoms"](spark, many_atoms).collect():
+        marks = (0, 1, 2)[r.doc_id % 3]
+        assert (r.n, r.marks) == (8004 + marks, marks)
+
+
 def test_entry(spark):
     assert E.entry(spark).count() == 200 and set(ORACLES) <= set(E.oracle_sql()) and set(E.oracle_sql()) <= set(E.queries())
