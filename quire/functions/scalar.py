@@ -48,8 +48,8 @@ def elapsed_label(ms: Column) -> Column:
 
 
 def context_label(n: Column) -> Column:
-    """DAT-4."""
-    return F.when(n >= 1048576, F.concat(F.format_number(n / 1048576, 1), F.lit("M"))).when(n.isNotNull(), F.concat(F.floor(n / 1024 + 0.5).cast("string"), F.lit("k")))
+    """DAT-4: no signs between thousands."""
+    return F.when(n >= 1048576, F.concat(F.translate(F.format_number(n / 1048576, 1), ",", ""), F.lit("M"))).when(n.isNotNull(), F.concat(F.floor(n / 1024 + 0.5).cast("string"), F.lit("k")))
 
 
 def stage_share(stage: Column, done: Column, total: Column, before: Column) -> Column:

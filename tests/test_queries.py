@@ -45,6 +45,19 @@ def test_query(spark, sf, sql, name):
     assert sorted(df.columns) == sorted(cols) and canon(rows, df.columns) == canon(r.fetchall(), cols)
 
 
+def test_clamped_settings_of_large_keys(spark, tmp_path):
+    """Labels of 999.9M and above, ties of a tenth among them, and of keys far beyond the tables'."""
+    keys = [0, 255, 256, 320, 255_987, 255_988, 256_000, 256_064, 1_199_999, 10**9 + 64, 2**40 + 192]
+    spark.createDataFrame([(k, 7, 900.5) for k in keys], "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    r = con.execute(ORACLES["clamped_settings"])
+    cols = [c[0] for c in r.description]
+    df = QUERIES["clamped_settings"](spark, str(tmp_path))
+    assert canon(df.collect(), df.columns) == canon(r.fetchall(), cols)
+    assert "1000.0M" in {r.context for r in df.collect()}
+
+
 LATE = "tail sk-zzzzzzzzzzzzzzzzzzzz http://u:p@h/y?key=v Bearer qqqqqqqqqqqqqqqqqqqq /home/someone/x end"
 
 
