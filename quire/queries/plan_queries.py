@@ -256,8 +256,7 @@ def boxed_texts(spark, sf_dir):
 def kept_atoms(spark, sf_dir):
     """LAY-4: placeholders up to the paragraph's number of formulas stay."""
     t = F.concat("text", F.lit(" ⟨1⟩ and ⟨7⟩"))
-    atoms = R.atoms_column(t)
-    return table(spark, sf_dir, "documents").select("doc_id", R.kept_marks(atoms, F.col("doc_id") % 3).alias("a")).select("doc_id", F.size("a").alias("n"), F.size(F.filter("a", lambda x: x["kind"] == "math")).alias("marks"))
+    return L.kept_sizes(table(spark, sf_dir, "documents").select("doc_id", t.alias("text"), (F.col("doc_id") % 3).alias("formulas")))
 
 
 # ---------------------------------------------------------------- files

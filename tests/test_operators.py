@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
+from quire.functions import rewrite as R
 from quire.operators import aggregates as A
 from quire.operators import folds as D
 from quire.operators import intervals as I
@@ -286,6 +287,15 @@ def test_layout_tables(spark):
 
 
 # ---------------------------------------------------------------- sources
+def test_kept_sizes(spark):
+    texts = ["⟨1⟩ a_i ⟨3⟩⟨2⟩", "⟨0⟩中", "", None, " ⟨12⟩ ", "plain words"]
+    some = spark.createDataFrame([(t, n, f"{i}{n}") for i, t in enumerate(texts) for n in (None, -1, 0, 1, 3, 20)], "text string, formulas long, key string")
+    by_list = some.withColumn("a", R.kept_marks(R.atoms_column(F.col("text")), F.coalesce("formulas", F.lit(0)))).select("key", F.size("a").alias("n"), F.size(F.filter("a", lambda a: a["kind"] == "math")).alias("marks"))
+    got = L.kept_sizes(some)
+    assert got.dtypes == by_list.dtypes and sorted(got.collect()) == sorted(by_list.collect())
+    assert {r.key: (r.n, r.marks) for r in got.collect()}["01"] == (5, 1)
+
+
 def test_tables(spark, tmp_path):
     (tmp_path / "dump.json").write_text(json.dumps({"pages": [{"pno": 1, "paragraphs": [{"pid": [1, 7], "src": "s", "text": "t", "x0": 1.0}]}]}))
     assert [(r.pno, r.seq, r.src, r.text) for r in tables.read_dump(spark, f"{tmp_path}/dump.json").collect()] == [(1, 7, "s", "t")]

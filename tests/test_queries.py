@@ -115,5 +115,16 @@ def test_kept_atoms_in_little_memory(spark, many_atoms):
         assert (r.n, r.marks) == (8004 + marks, marks)
 
 
+def test_kept_atoms_stay_in_the_worker(spark, many_atoms):
+    df = QUERIES["kept_atoms"](spark, many_atoms)
+    assert len(df.collect()) == 400
+    sent, nodes = 0, [df._jdf.queryExecution().executedPlan()]
+    for node in nodes:
+        if (m := node.metrics().get("pythonDataReceived")).isDefined():
+            sent += m.get().value()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    assert 0 < sent < 100_000  # bytes for three numbers a document; the 3.2 million atoms take tens of MB
+
+
 def test_entry(spark):
     assert E.entry(spark).count() == 200 and set(ORACLES) <= set(E.oracle_sql()) and set(E.oracle_sql()) <= set(E.queries())
